@@ -8,12 +8,16 @@ holds a third of the data. So each scan runs in two parts:
 
 * **cold keys** (at most ``hot_key_rows`` rows): one hash shuffle on the key and a window, the
   plan Catalyst builds for the plain SQL;
-* **hot keys** (found with a map-side-combined count per key; there are at most
-  ``total_rows / hot_key_rows`` of them, which bounds the broadcast that marks them): a range
-  shuffle on ``(key, order...)`` cuts each hot key into contiguous slices of balanced size, the
-  scan runs per (key, slice), and a small carry table -- one row per (hot key, slice), so bounded
-  by ``#hot keys + #slices`` -- stitches the slices back together exactly (sum of earlier slices,
-  last non-NULL of earlier slices, or the last row of the previous slice).
+* **hot keys** (found with a map-side-combined count per key and a bounded ``limit``, so the
+  driver sees at most ``MAX_HOT_KEYS + 1`` keys): a range shuffle on ``(key, order...)`` cuts
+  each hot key into contiguous slices of balanced size, the scan runs per (key, slice), and a
+  small carry table -- one row per (hot key, slice), so bounded by ``#hot keys + #slices`` --
+  stitches the slices back together exactly (sum of earlier slices, last non-NULL of earlier
+  slices, or the last row of the previous slice). With more heavy keys than ``MAX_HOT_KEYS``
+  every key takes the sliced path; nothing is capped or dropped.
+
+The hot-key check is one small eager job per scan; with no heavy key the plan is exactly the
+single-shuffle window.
 
 Slice numbers come from ``spark_partition_id()`` after the range exchange. Both consumers of that
 exchange (local scan and carry table) read the same shuffle output, because Spark reuses an
@@ -35,6 +39,8 @@ from pyspark.sql import functions as F
 HOT_KEY_ROWS_CONF = "clickfold.scan.hotKeyRows"
 SLICES_CONF = "clickfold.scan.slices"
 DEFAULT_HOT_KEY_ROWS = 4_000_000
+# Heavy keys listed individually; beyond this many, every key is sliced.
+MAX_HOT_KEYS = 10_000
 
 SUM, FILL, LAG = "sum", "fill", "lag"
 
@@ -101,6 +107,30 @@ def _window_scan(df: DataFrame, part: Sequence[str], order: Sequence[Column], ou
     return df.withColumns(cols)
 
 
+def hot_keys(df: DataFrame, keys: Sequence[str], threshold: int, limit: int) -> list[tuple]:
+    """Keys holding more than ``threshold`` rows, at most ``limit + 1`` of them.
+
+    A count per key combined map-side, a filter and a bounded ``limit``: the driver receives at
+    most ``limit + 1`` small rows whatever the data size.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__hot_n"))
+    rows = counts.filter(F.col("__hot_n") > F.lit(threshold)).select(*keys).limit(limit + 1).collect()
+    return [tuple(r) for r in rows]
+
+
+def _key_match(keys: Sequence[str], hot: list[tuple]) -> Column:
+    """Row predicate: the row's key is one of ``hot`` (NULL keys included, as windows group them)."""
+    if len(keys) == 1:
+        values = [h[0] for h in hot if h[0] is not None]
+        cond = F.col(keys[0]).isin(values) if values else F.lit(False)
+        if any(h[0] is None for h in hot):
+            cond = cond | F.col(keys[0]).isNull()
+        return F.coalesce(cond, F.lit(False))
+    per_key = [reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.lit(v)) for k, v in zip(keys, h, strict=True)])
+               for h in hot]
+    return reduce(lambda a, b: a | b, per_key)
+
+
 def keyed_scan(df: DataFrame, keys: Sequence[str], order: Sequence, value, out: str, kind: str,
                hot_key_rows: int | None = None) -> DataFrame:
     keys = list(keys)
@@ -110,19 +140,16 @@ def keyed_scan(df: DataFrame, keys: Sequence[str], order: Sequence, value, out:
     if threshold <= 0:
         return _window_scan(data, keys, order, out, kind).drop(_V)
 
-    # Hot keys: a count per key, combined map-side, then a filter. At most rows/threshold keys
-    # survive, so broadcasting them is bounded by construction.
-    hot_names = [f"__hot_k{i}" for i in range(len(keys))]
-    hot = (data.groupBy(*keys).agg(F.count(F.lit(1)).alias("__hot_n"))
-           .filter(F.col("__hot_n") > F.lit(threshold))
-           .select(*[F.col(k).alias(h) for k, h in zip(keys, hot_names, strict=True)]))
-    hot_b = F.broadcast(hot)
-    on = _null_safe_on(data, hot_b, list(zip(keys, hot_names, strict=True)))
-    cold_rows = data.join(hot_b, on, "left_anti")
-    hot_rows = data.join(hot_b, on, "left_semi")
-
-    cold_out = _window_scan(cold_rows, keys, order, out, kind)
-    hot_out = _sliced_scan(hot_rows, keys, order, out, kind, _resolve_slices(df))
+    hot = hot_keys(data, keys, threshold, MAX_HOT_KEYS)
+    if not hot:
+        # The common case: every key fits a task; one hash shuffle and a window.
+        return _window_scan(data, keys, order, out, kind).drop(_V)
+    if len(hot) > MAX_HOT_KEYS:
+        # Too many heavy keys to list: slice everything. Exact, one more shuffle.
+        return _sliced_scan(data, keys, order, out, kind, _resolve_slices(df)).drop(_V)
+    is_hot = _key_match(keys, hot)
+    cold_out = _window_scan(data.filter(~is_hot), keys, order, out, kind)
+    hot_out = _sliced_scan(data.filter(is_hot), keys, order, out, kind, _resolve_slices(df))
     return cold_out.unionByName(hot_out).drop(_V)
 
 
