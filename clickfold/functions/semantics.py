@@ -114,6 +114,15 @@ def money_sum(price: ColumnOrName) -> Column:
     return F.sum(_col(price)).cast("double")
 
 
+def money_total(amount: ColumnOrName) -> Column:
+    """Re-aggregate money already emitted as double (e.g. revenue per source) exactly.
+
+    Each input is a cent amount rounded once to double, so casting back to DECIMAL(38,2) recovers
+    it; the sum is then exact and independent of summation order, and is emitted as double.
+    """
+    return F.sum(_col(amount).cast("decimal(38,2)")).cast("double")
+
+
 def money_avg(price: ColumnOrName) -> Column:
     """``AVG(price)`` as double(sum) / count of non-NULL prices."""
     return F.sum(_col(price)).cast("double") / F.nullif(F.count(_col(price)), F.lit(0))

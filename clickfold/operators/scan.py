@@ -19,10 +19,10 @@ holds a third of the data. So each scan runs in two parts:
 The hot-key check is one small eager job per scan; with no heavy key the plan is exactly the
 single-shuffle window.
 
-Slice numbers come from ``spark_partition_id()`` after the range exchange. Both consumers of that
-exchange (local scan and carry table) read the same shuffle output, because Spark reuses an
-identical exchange within a query, and a recomputed map task uses the same range bounds, so the
-slice of a row never changes under task retry or executor loss.
+Slice numbers come from ``spark_partition_id()`` after the range exchange. The per-slice scan is
+checkpointed (reliably, into ``spark.checkpoint.dir``) before the carry table is derived from it:
+two evaluations of a range exchange may sample different bounds, so both consumers must read one
+written copy. Only rows of hot keys take this path.
 
 ``order`` must be a total order within a key (add a tie-breaker column) for the lag and fill
 scans to be deterministic; for a sum, rows tied on every order column must be interchangeable.
@@ -158,7 +158,10 @@ def _sliced_scan(df: DataFrame, keys: list[str], order: list[Column], out: str,
     ranged = (df.repartitionByRange(n_slices, *[F.col(k) for k in keys], *order)
               .withColumn(_S, F.spark_partition_id()))
     part = [*keys, _S]
-    local = _window_scan(ranged, part, order, out, kind, with_row_number=True)
+    # Written once to the shared checkpoint folder: the carry table and the stitched result both
+    # read this copy, so every row keeps the slice number it was scanned with (a second
+    # evaluation could sample other range bounds), and a lost executor never re-slices.
+    local = _window_scan(ranged, part, order, out, kind, with_row_number=True).checkpoint(eager=True)
 
     if kind == SUM:
         tails = local.groupBy(*part).agg(F.sum(_V).alias(_T))
@@ -181,7 +184,9 @@ def _sliced_scan(df: DataFrame, keys: list[str], order: list[Column], out: str,
     joined = local.join(carry_b, on, "left")
 
     if kind == SUM:
-        fixed = F.col(out) + F.coalesce(F.col(_C), F.lit(0))
+        # NULL only while no non-NULL value has been seen in this or any earlier slice.
+        fixed = F.when(F.col(out).isNull() & F.col(_C).isNull(), F.lit(None)).otherwise(
+            F.coalesce(F.col(out), F.lit(0)) + F.coalesce(F.col(_C), F.lit(0)))
     elif kind == FILL:
         fixed = F.coalesce(F.col(out), F.col(_C))
     else:

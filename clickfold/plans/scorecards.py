@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickfold.functions.semantics import REVENUE_AT_RISK_MIN_ROWS, rate
+from clickfold.functions.semantics import REVENUE_AT_RISK_MIN_ROWS, money_total, rate
 from clickfold.plans import abandonment, funnel, retention, traffic
 from clickfold.plans.workspace import Workspace
 
@@ -20,7 +20,7 @@ from clickfold.plans.workspace import Workspace
 def overall_aov(ws: Workspace) -> DataFrame:
     """Total revenue / total orders over V2 (an order has one user, hence one source)."""
     v2 = traffic.revenue_by_source(ws.orders_temp, ws.order_items_temp, ws.users_temp, require_source=True)
-    return v2.agg(rate(F.sum("total_revenue"), F.sum("total_orders")).alias("overall_aov"))
+    return v2.agg(rate(money_total("total_revenue"), F.sum("total_orders")).alias("overall_aov"))
 
 
 def overall_repeat_rate(ws: Workspace) -> DataFrame:
@@ -50,7 +50,7 @@ def channel_scorecard(ws: Workspace) -> DataFrame:
 def revenue_at_risk_total(ws: Workspace, min_rows: int = REVENUE_AT_RISK_MIN_ROWS) -> DataFrame:
     """Headline revenue at risk, the sum of V12 (NULL when no category qualifies)."""
     v12 = abandonment.revenue_at_risk(ws.stock_check, ws.events_temp, ws.products, min_rows, ordered=False)
-    return v12.agg(F.sum("revenue_at_risk").alias("revenue_at_risk_total"),
+    return v12.agg(money_total("revenue_at_risk").alias("revenue_at_risk_total"),
                    F.sum("abandoned_oos_events").alias("abandoned_oos_events"))
 
 
@@ -58,8 +58,8 @@ def overview_kpis(ws: Workspace) -> DataFrame:
     """Sessions (V5), revenue (sum of V2), overall AOV (D2) and cart abandonment rate (A15), 1 row."""
     sessions = funnel.funnel_overall(ws.events_temp, with_total=True).select("total_sessions")
     v2 = traffic.revenue_by_source(ws.orders_temp, ws.order_items_temp, ws.users_temp, require_source=True)
-    revenue = v2.agg(F.sum("total_revenue").alias("total_revenue"),
-                     rate(F.sum("total_revenue"), F.sum("total_orders")).alias("overall_aov"))
+    revenue = v2.agg(money_total("total_revenue").alias("total_revenue"),
+                     rate(money_total("total_revenue"), F.sum("total_orders")).alias("overall_aov"))
     a15 = abandonment.abandonment_by_stock(ws.stock_check, ws.events_temp)
     aband = a15.agg(rate(F.sum("abandoned_carts"), F.sum("total_carts")).alias("abandonment_rate"))
     # Three one-row aggregates: the cross joins pair single rows.
