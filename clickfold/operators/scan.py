@@ -52,21 +52,21 @@ _T = "__scan_tail"
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence, value, out: str,
-                hot_key_rows: int | None = None) -> DataFrame:
+                hot_key_rows: int | None = None, rows_bound: int | None = None) -> DataFrame:
     """``SUM(value) OVER (PARTITION BY keys ORDER BY order ROWS UNBOUNDED PRECEDING)``."""
-    return keyed_scan(df, keys, order, value, out, SUM, hot_key_rows)
+    return keyed_scan(df, keys, order, value, out, SUM, hot_key_rows, rows_bound)
 
 
 def forward_fill(df: DataFrame, keys: Sequence[str], order: Sequence, value, out: str,
-                 hot_key_rows: int | None = None) -> DataFrame:
+                 hot_key_rows: int | None = None, rows_bound: int | None = None) -> DataFrame:
     """Last non-NULL ``value`` at or before each row, per key, in ``order``."""
-    return keyed_scan(df, keys, order, value, out, FILL, hot_key_rows)
+    return keyed_scan(df, keys, order, value, out, FILL, hot_key_rows, rows_bound)
 
 
 def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence, value, out: str,
-                   hot_key_rows: int | None = None) -> DataFrame:
+                   hot_key_rows: int | None = None, rows_bound: int | None = None) -> DataFrame:
     """``LAG(value) OVER (PARTITION BY keys ORDER BY order)``."""
-    return keyed_scan(df, keys, order, value, out, LAG, hot_key_rows)
+    return keyed_scan(df, keys, order, value, out, LAG, hot_key_rows, rows_bound)
 
 
 def _as_col(c) -> Column:
@@ -132,12 +132,18 @@ def _key_match(keys: Sequence[str], hot: list[tuple]) -> Column:
 
 
 def keyed_scan(df: DataFrame, keys: Sequence[str], order: Sequence, value, out: str, kind: str,
-               hot_key_rows: int | None = None) -> DataFrame:
+               hot_key_rows: int | None = None, rows_bound: int | None = None) -> DataFrame:
+    """Dispatch between the plain window and the sliced path (module docstring).
+
+    ``rows_bound``, when given, must be an upper bound on the rows of ``df`` (e.g. from the row
+    counts of the files it derives from): no key can hold more rows than that, so when it is at
+    most the threshold the hot-key check is skipped.
+    """
     keys = list(keys)
     order = [_as_col(o) for o in order]
     data = df.withColumn(_V, _as_col(value))
     threshold = _resolve_threshold(df, hot_key_rows)
-    if threshold <= 0:
+    if threshold <= 0 or (rows_bound is not None and rows_bound <= threshold):
         return _window_scan(data, keys, order, out, kind).drop(_V)
 
     hot = hot_keys(data, keys, threshold, MAX_HOT_KEYS)

@@ -38,12 +38,30 @@ LAYOUT = {
 
 class Workspace:
     def __init__(self, raw: RawTables | None = None, *, hot_key_rows: int | None = None,
-                 tables: dict[str, DataFrame] | None = None):
+                 tables: dict[str, DataFrame] | None = None, counts: dict[str, int] | None = None):
         self.raw = raw
         self.hot_key_rows = hot_key_rows
+        self._counts = counts if counts is not None else {}
         for name, df in (tables or {}).items():
             self.__dict__[name] = df  # pre-seeds the cached properties
 
+    # Stage whose row count equals that of each raw table (staging keeps every row).
+    _STAGE_OF = {"events": "events_temp", "inventory_events": "inventory_events_temp", "orders": "orders_temp"}
+
+    def rows_bound(self, *tables: str, factor: dict[str, int] | None = None) -> int:
+        """Upper bound on the rows a keyed scan over these tables can see: their row counts.
+
+        A Parquet ``count()`` reads footers only; counts are cached per workspace. The keyed scans
+        skip their hot-key check when the bound cannot exceed the hot-key threshold.
+        """
+        total = 0
+        for name in tables:
+            if name not in self._counts:
+                source = getattr(self.raw, name) if self.raw is not None else getattr(self, self._STAGE_OF[name])
+                self._counts[name] = source.count()
+            total += self._counts[name] * (factor or {}).get(name, 1)
+        return total
+
     @classmethod
     def from_testdata(cls, spark: SparkSession, sf_dir: str, **kw) -> Workspace:
         from clickfold.sources.testdata import raw_tables
@@ -77,15 +95,19 @@ class Workspace:
     # -- derived (analysis) -----------------------------------------------------------------
     @cached_property
     def cart_product_map(self) -> DataFrame:
-        return inventory.cart_product_map(self.events_temp, self.hot_key_rows)
+        return inventory.cart_product_map(self.events_temp, self.hot_key_rows, self.rows_bound("events"))
 
     @cached_property
     def stock_timeline(self) -> DataFrame:
-        return inventory.stock_timeline(self.inventory_events_temp, self.hot_key_rows)
+        # two movements (in, sold) per inventory row
+        return inventory.stock_timeline(self.inventory_events_temp, self.hot_key_rows,
+                                        self.rows_bound("inventory_events", factor={"inventory_events": 2}))
 
     @cached_property
     def stock_check(self) -> DataFrame:
-        return inventory.stock_check(self.cart_product_map, self.inventory_events_temp, self.hot_key_rows)
+        # two movements per inventory row, at most one cart per event
+        bound = self.rows_bound("inventory_events", "events", factor={"inventory_events": 2})
+        return inventory.stock_check(self.cart_product_map, self.inventory_events_temp, self.hot_key_rows, bound)
 
     # -- slicers (dashboard cross-filters, D8) ----------------------------------------------
     def sliced(self, **predicates: Column) -> Workspace:
@@ -101,7 +123,8 @@ class Workspace:
             tables[name] = df.filter(predicates.pop(name)) if name in predicates else df
         if predicates:
             raise KeyError(f"slicers only apply to staged tables {STAGED}, got {sorted(predicates)}")
-        return Workspace(self.raw, hot_key_rows=self.hot_key_rows, tables=tables)
+        # Row bounds of the unrestricted tables still bound the restricted ones.
+        return Workspace(self.raw, hot_key_rows=self.hot_key_rows, tables=tables, counts=self._counts)
 
     # -- materialisation --------------------------------------------------------------------
     def materialize(self, root: str | None = None, names: tuple[str, ...] = STAGED + DERIVED) -> Workspace:
@@ -118,4 +141,4 @@ class Workspace:
             (df.repartition(*cluster).sortWithinPartitions(*sort)
              .write.mode("overwrite").parquet(path))
             tables[name] = spark.read.parquet(path)
-        return Workspace(self.raw, hot_key_rows=self.hot_key_rows, tables=tables)
+        return Workspace(self.raw, hot_key_rows=self.hot_key_rows, tables=tables, counts=self._counts)

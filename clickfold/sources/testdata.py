@@ -45,7 +45,8 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = _read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props")
+    source = _read(spark, sf_dir, "events")
+    ev = source.select("event_id", "ts", "user_id", "event_type", "props")
     n_parts = _read(spark, sf_dir, "part").agg(F.count(F.lit(1))).scalar()
     k = F.get_json_object("props", "$.k").try_cast("int")
     bucket = F.floor(F.timestamp_diff("SECOND", _ntz(EPOCH), F.col("ts")) / SESSION_SECONDS)
@@ -74,7 +75,8 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts").alias("__ts"),
     )
     # The real table carries sequence_number; here it is the running count per session.
-    ev = running_sum(ev, ["session_id"], ["__ts", "id"], F.lit(1), "sequence_number")
+    ev = running_sum(ev, ["session_id"], ["__ts", "id"], F.lit(1), "sequence_number",
+                     rows_bound=source.count())
     return ev.select("id", "user_id", "session_id", F.col("sequence_number").cast("int").alias("sequence_number"),
                      "event_type", "traffic_source", "browser", "uri", "created_at")
 
