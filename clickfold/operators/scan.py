@@ -108,16 +108,22 @@ def _window_scan(df: DataFrame, part: Sequence[str], order: Sequence[Column], ou
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], threshold: int, limit: int) -> list[tuple]:
-    """Keys holding more than ``threshold`` rows, at most ``limit + 1`` of them.
+    """Keys holding more than ``threshold`` rows, at most ``limit + 1`` of them, with their counts.
 
     A count per key combined map-side, a filter and a bounded ``limit``: the driver receives at
-    most ``limit + 1`` small rows whatever the data size.
+    most ``limit + 1`` small rows whatever the data size. Each tuple is ``(*key, rows)``.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__hot_n"))
-    rows = counts.filter(F.col("__hot_n") > F.lit(threshold)).select(*keys).limit(limit + 1).collect()
+    rows = counts.filter(F.col("__hot_n") > F.lit(threshold)).limit(limit + 1).collect()
     return [tuple(r) for r in rows]
 
 
+def _slices_for(df: DataFrame, rows: int, threshold: int) -> int:
+    """Enough range slices that one holds about ``threshold`` rows, never fewer than the
+    session's shuffle partitions: a third of 100 TB in one key still gets task-sized slices."""
+    return max(_resolve_slices(df), -(-rows // max(threshold, 1)))
+
+
 def _key_match(keys: Sequence[str], hot: list[tuple]) -> Column:
     """Row predicate: the row's key is one of ``hot`` (NULL keys included, as windows group them)."""
     if len(keys) == 1:
@@ -152,10 +158,12 @@ def keyed_scan(df: DataFrame, keys: Sequence[str], order: Sequence, value, out:
         return _window_scan(data, keys, order, out, kind).drop(_V)
     if len(hot) > MAX_HOT_KEYS:
         # Too many heavy keys to list: slice everything. Exact, one more shuffle.
-        return _sliced_scan(data, keys, order, out, kind, _resolve_slices(df)).drop(_V)
-    is_hot = _key_match(keys, hot)
+        total = rows_bound if rows_bound is not None else data.count()
+        return _sliced_scan(data, keys, order, out, kind, _slices_for(df, total, threshold)).drop(_V)
+    hot_rows = sum(h[-1] for h in hot)
+    is_hot = _key_match(keys, [h[:-1] for h in hot])
     cold_out = _window_scan(data.filter(~is_hot), keys, order, out, kind)
-    hot_out = _sliced_scan(data.filter(is_hot), keys, order, out, kind, _resolve_slices(df))
+    hot_out = _sliced_scan(data.filter(is_hot), keys, order, out, kind, _slices_for(df, hot_rows, threshold))
     return cold_out.unionByName(hot_out).drop(_V)
 
 

@@ -47,7 +47,8 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for materialised tables: the cluster's ``spark.checkpoint.dir``.
 
-    Set a private one only when the session has none (tests / local runs).
+    Set a private temporary one only when the session has none and runs in local mode (tests);
+    on a cluster a machine-local folder would lose data with its executor, so that is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
@@ -57,6 +58,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return configured
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/...) for this cluster")
     local = tempfile.mkdtemp(prefix="clickfold-ckpt-")
     spark.sparkContext.setCheckpointDir(local)
     spark.conf.set("spark.checkpoint.dir", local)

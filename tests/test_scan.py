@@ -55,6 +55,12 @@ def test_sum_with_descending_order_and_ties(spark):
 def test_hot_key_detection_is_bounded(spark, skewed):
     hot = scan.hot_keys(skewed, ["k"], threshold=50, limit=1)
     assert len(hot) == 2  # limit + 1 at most
+    assert all(n > 50 for *_, n in hot)
+
+
+def test_slices_grow_with_hot_rows(spark, skewed):
+    assert scan._slices_for(skewed, 10, 1000) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert scan._slices_for(skewed, 10 ** 12, 4 * 10 ** 6) == 250_000
 
 
 def test_workspace_results_unchanged_by_slicing(spark):
