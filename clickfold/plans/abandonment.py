@@ -4,7 +4,8 @@ A cart row is a row of stock check, so abandonment counts cart *events*; any pur
 session marks all of its carts as bought. The reference joins a per-session purchase subquery
 (and, for the source breakdown, a second per-session subquery) into every metric. Here both come
 from one aggregation per session -- ``MAX(purchase flag)`` and ``MAX(traffic_source)`` grouped by
-session_id -- joined once into the "cart facts".
+session_id -- joined once into the **cart facts** (:func:`cart_facts`). Every metric below is a
+small aggregation over the facts; a workspace can materialise them once for all of them.
 """
 
 from __future__ import annotations
@@ -38,10 +39,15 @@ def abandoned_sessions_count(events_temp: DataFrame) -> DataFrame:
     return abandoned_sessions(events_temp).agg(F.count(F.lit(1)).alias("total_abandoned_sessions"))
 
 
-def cart_facts(stock_check: DataFrame, events_temp: DataFrame, with_source: bool = False) -> DataFrame:
-    """Stock-check rows with the session's ``has_purchase`` (and ``traffic_source``); inner join."""
-    extra = [F.max("traffic_source").alias("traffic_source")] if with_source else []
-    sessions = rollup(events_temp, ["session_id"], {"has_purchase": "purchase"}, extra)
+def cart_facts(stock_check: DataFrame, events_temp: DataFrame) -> DataFrame:
+    """Stock-check rows with the session's ``has_purchase`` and ``traffic_source`` (inner join).
+
+    One aggregation per session supplies both columns; the sessions without a mapped cart are
+    dropped by the join (AQE picks broadcast or sort-merge from the measured sizes, and splits a
+    session holding many carts with its skew-join handling).
+    """
+    sessions = rollup(events_temp, ["session_id"], {"has_purchase": "purchase"},
+                      [F.max("traffic_source").alias("traffic_source")])
     return stock_check.join(sessions, "session_id", "inner")
 
 
@@ -57,26 +63,24 @@ def _abandonment(facts: DataFrame, keys, total: str, abandoned: str) -> DataFram
             .withColumn("abandonment_rate", rate(abandoned, total)))
 
 
-def abandonment_by_stock(stock_check: DataFrame, events_temp: DataFrame) -> DataFrame:
+def abandonment_by_stock(facts: DataFrame) -> DataFrame:
     """Cart rows, abandoned rows and rate per stock status."""
-    return _abandonment(cart_facts(stock_check, events_temp), ["stock_status"], "total_carts", "abandoned_carts")
+    return _abandonment(facts, ["stock_status"], "total_carts", "abandoned_carts")
 
 
-def abandonment_by_stock_category(stock_check: DataFrame, events_temp: DataFrame, products: DataFrame,
-                                  ordered: bool = True) -> DataFrame:
+def abandonment_by_stock_category(facts: DataFrame, products: DataFrame, ordered: bool = True) -> DataFrame:
     """The same per stock status and product category."""
-    facts = _with_product(cart_facts(stock_check, events_temp), products)
-    out = _abandonment(facts, ["stock_status", "category"], "times_added_to_cart", "abandoned_count")
+    out = _abandonment(_with_product(facts, products), ["stock_status", "category"], "times_added_to_cart",
+                       "abandoned_count")
     return out.orderBy("stock_status", F.desc("abandonment_rate")) if ordered else out
 
 
-def revenue_at_risk(stock_check: DataFrame, events_temp: DataFrame, products: DataFrame,
-                    min_rows: int = REVENUE_AT_RISK_MIN_ROWS, ordered: bool = True) -> DataFrame:
+def revenue_at_risk(facts: DataFrame, products: DataFrame, min_rows: int = REVENUE_AT_RISK_MIN_ROWS,
+                    ordered: bool = True) -> DataFrame:
     """Abandoned out-of-stock cart rows per category -- count, sum and average list
     price -- for categories with at least ``min_rows`` such rows."""
-    facts = cart_facts(stock_check.filter(F.col("stock_status") == OUT_OF_STOCK), events_temp)
-    facts = _with_product(facts.filter(F.col("has_purchase") == 0), products)
-    out = (facts.groupBy("category")
+    lost = facts.filter((F.col("stock_status") == OUT_OF_STOCK) & (F.col("has_purchase") == 0))
+    out = (_with_product(lost, products).groupBy("category")
            .agg(F.count(F.lit(1)).alias("abandoned_oos_events"),
                 money_sum("retail_price").alias("revenue_at_risk"),
                 money_avg("retail_price").alias("avg_item_price"))
@@ -84,25 +88,22 @@ def revenue_at_risk(stock_check: DataFrame, events_temp: DataFrame, products: Da
     return out.orderBy(F.desc("revenue_at_risk")) if ordered else out
 
 
-def abandonment_by_source(stock_check: DataFrame, events_temp: DataFrame, ordered: bool = True) -> DataFrame:
+def abandonment_by_source(facts: DataFrame, ordered: bool = True) -> DataFrame:
     """Per session source, one source per session (``MAX(traffic_source)``)."""
-    facts = cart_facts(stock_check, events_temp, with_source=True)
     out = _abandonment(facts, ["traffic_source"], "times_added_to_cart", "abandoned_count")
     return out.orderBy(F.desc("abandonment_rate")) if ordered else out
 
 
-def abandonment_by_price_tier(stock_check: DataFrame, events_temp: DataFrame, products: DataFrame,
-                              ordered: bool = True) -> DataFrame:
+def abandonment_by_price_tier(facts: DataFrame, products: DataFrame, ordered: bool = True) -> DataFrame:
     """Per retail price tier (``1. < $25`` ... ``4. >= $100``; NULL price in the top tier)."""
-    facts = _with_product(cart_facts(stock_check, events_temp), products)
-    out = _abandonment(facts, [price_tier("retail_price").alias("price_tier")], "times_added_to_cart",
-                       "abandoned_count")
+    out = _abandonment(_with_product(facts, products), [price_tier("retail_price").alias("price_tier")],
+                       "times_added_to_cart", "abandoned_count")
     return out.orderBy("price_tier") if ordered else out
 
 
-def vw_abandonment_by_price_tier(stock_check: DataFrame, events_temp: DataFrame, products: DataFrame) -> DataFrame:
+def vw_abandonment_by_price_tier(facts: DataFrame, products: DataFrame) -> DataFrame:
     """A19 with the view's labels and a ``price_tier_sort`` key 1-4."""
-    facts = _with_product(cart_facts(stock_check, events_temp), products)
-    return _abandonment(facts, [view_price_tier("retail_price").alias("price_tier"),
-                                view_price_tier_sort("retail_price").alias("price_tier_sort")],
+    return _abandonment(_with_product(facts, products),
+                        [view_price_tier("retail_price").alias("price_tier"),
+                         view_price_tier_sort("retail_price").alias("price_tier_sort")],
                         "times_added_to_cart", "abandoned_count")

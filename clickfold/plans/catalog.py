@@ -28,8 +28,7 @@ Query = Callable[[Workspace], DataFrame]
 
 
 def _sliced_abandonment(ws: Workspace, events_predicate) -> DataFrame:
-    sliced = ws.sliced(events_temp=events_predicate)
-    return ab.abandonment_by_stock(sliced.stock_check, sliced.events_temp)
+    return ab.abandonment_by_stock(ws.sliced(events_temp=events_predicate).cart_facts)
 
 VIEWS: dict[str, Query] = {
     "vw_traffic_overview": lambda ws: tr.traffic_overview(ws.events_temp, ordered=False),
@@ -44,12 +43,11 @@ VIEWS: dict[str, Query] = {
     "vw_funnel_by_browser": lambda ws: fn.funnel(ws.events_temp, "browser", ordered=False),
     "vw_product_to_cart_by_category": lambda ws: fn.product_to_cart_by_category(
         ws.events_temp, ws.cart_product_map, ws.products, ordered=False),
-    "vw_abandonment_by_category": lambda ws: ab.abandonment_by_stock_category(
-        ws.stock_check, ws.events_temp, ws.products, ordered=False),
-    "vw_abandonment_by_traffic": lambda ws: ab.abandonment_by_source(ws.stock_check, ws.events_temp, ordered=False),
-    "vw_abandonment_by_price_tier": lambda ws: ab.vw_abandonment_by_price_tier(
-        ws.stock_check, ws.events_temp, ws.products),
-    "vw_revenue_at_risk": lambda ws: ab.revenue_at_risk(ws.stock_check, ws.events_temp, ws.products, ordered=False),
+    "vw_abandonment_by_category": lambda ws: ab.abandonment_by_stock_category(ws.cart_facts, ws.products,
+                                                                             ordered=False),
+    "vw_abandonment_by_traffic": lambda ws: ab.abandonment_by_source(ws.cart_facts, ordered=False),
+    "vw_abandonment_by_price_tier": lambda ws: ab.vw_abandonment_by_price_tier(ws.cart_facts, ws.products),
+    "vw_revenue_at_risk": lambda ws: ab.revenue_at_risk(ws.cart_facts, ws.products, ordered=False),
 }
 
 QUERIES: dict[str, Query] = {
@@ -82,20 +80,17 @@ QUERIES: dict[str, Query] = {
     "funnel_by_source": lambda ws: fn.funnel(ws.events_temp, "traffic_source"),
     "funnel_by_browser": lambda ws: fn.funnel(ws.events_temp, "browser", order_by="product_view_sessions"),
     "funnel_overall": lambda ws: fn.funnel_overall(ws.events_temp),
-    "abandonment_by_stock": lambda ws: ab.abandonment_by_stock(ws.stock_check, ws.events_temp),
-    "abandonment_by_stock_category": lambda ws: ab.abandonment_by_stock_category(
-        ws.stock_check, ws.events_temp, ws.products),
-    "revenue_at_risk": lambda ws: ab.revenue_at_risk(ws.stock_check, ws.events_temp, ws.products),
-    "revenue_at_risk_min15": lambda ws: ab.revenue_at_risk(ws.stock_check, ws.events_temp, ws.products,
-                                                           min_rows=SMALL_DATA_MIN_ROWS),
-    "abandonment_by_source": lambda ws: ab.abandonment_by_source(ws.stock_check, ws.events_temp),
-    "abandonment_by_price_tier": lambda ws: ab.abandonment_by_price_tier(ws.stock_check, ws.events_temp,
-                                                                         ws.products),
+    "abandonment_by_stock": lambda ws: ab.abandonment_by_stock(ws.cart_facts),
+    "abandonment_by_stock_category": lambda ws: ab.abandonment_by_stock_category(ws.cart_facts, ws.products),
+    "revenue_at_risk": lambda ws: ab.revenue_at_risk(ws.cart_facts, ws.products),
+    "revenue_at_risk_min15": lambda ws: ab.revenue_at_risk(ws.cart_facts, ws.products, min_rows=SMALL_DATA_MIN_ROWS),
+    "abandonment_by_source": lambda ws: ab.abandonment_by_source(ws.cart_facts),
+    "abandonment_by_price_tier": lambda ws: ab.abandonment_by_price_tier(ws.cart_facts, ws.products),
     "product_to_cart_by_category": lambda ws: fn.product_to_cart_by_category(
         ws.events_temp, ws.cart_product_map, ws.products),
     # V: published views
     **VIEWS,
-    "vw_revenue_at_risk_min15": lambda ws: ab.revenue_at_risk(ws.stock_check, ws.events_temp, ws.products,
+    "vw_revenue_at_risk_min15": lambda ws: ab.revenue_at_risk(ws.cart_facts, ws.products,
                                                               min_rows=SMALL_DATA_MIN_ROWS, ordered=False),
     # D: dashboard measures
     "overview_kpis": sc.overview_kpis,

@@ -51,7 +51,7 @@ def channel_scorecard(ws: Workspace) -> DataFrame:
 
 def revenue_at_risk_total(ws: Workspace, min_rows: int = REVENUE_AT_RISK_MIN_ROWS) -> DataFrame:
     """Headline revenue at risk, the sum of V12 (NULL when no category qualifies)."""
-    v12 = abandonment.revenue_at_risk(ws.stock_check, ws.events_temp, ws.products, min_rows, ordered=False)
+    v12 = abandonment.revenue_at_risk(ws.cart_facts, ws.products, min_rows, ordered=False)
     return v12.agg(money_total("revenue_at_risk").alias("revenue_at_risk_total"),
                    F.sum("abandoned_oos_events").alias("abandoned_oos_events"))
 
@@ -62,7 +62,7 @@ def overview_kpis(ws: Workspace) -> DataFrame:
     v2 = traffic.revenue_by_source(ws.orders_temp, ws.order_items_temp, ws.users_temp, require_source=True)
     revenue = v2.agg(money_total("total_revenue").alias("total_revenue"),
                      rate(money_total("total_revenue"), F.sum("total_orders")).alias("overall_aov"))
-    a15 = abandonment.abandonment_by_stock(ws.stock_check, ws.events_temp)
+    a15 = abandonment.abandonment_by_stock(ws.cart_facts)
     aband = a15.agg(rate(F.sum("abandoned_carts"), F.sum("total_carts")).alias("abandonment_rate"))
     # Three one-row aggregates: the cross joins pair single rows.
     return sessions.crossJoin(revenue).crossJoin(aband)
@@ -74,7 +74,7 @@ def highest_risk_cards(ws: Workspace) -> DataFrame:
     Top 1 per dimension (the card is the feature); ties go to the smallest label, NULL first.
     Category is re-aggregated over stock status.
     """
-    facts = abandonment.cart_facts(ws.stock_check, ws.events_temp, with_source=True)
+    facts = ws.cart_facts
     prod = ws.products.select(F.col("id").alias("__pid"), "category", "retail_price")
     with_prod = facts.join(prod, F.col("product_id") == F.col("__pid"), "inner")
 

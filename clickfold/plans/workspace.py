@@ -15,11 +15,12 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from clickfold.operators import inventory, staging
+from clickfold.plans import abandonment
 from clickfold.session import scratch_path
 from clickfold.sources.raw import RawTables
 
 STAGED = ("events_temp", "inventory_events_temp", "orders_temp", "order_items_temp", "users_temp", "products")
-DERIVED = ("cart_product_map", "stock_timeline", "stock_check")
+DERIVED = ("cart_product_map", "stock_timeline", "stock_check", "cart_facts")
 
 # File layout per table when written: (cluster key, sort within files). Mirrors the reference's
 # indexes on events (session_id, sequence_number) and inventory (product_id, created, sold).
@@ -33,6 +34,7 @@ LAYOUT = {
     "cart_product_map": (["session_id"], ["session_id", "cart_time"]),
     "stock_timeline": (["product_id"], ["product_id", "t"]),
     "stock_check": (["session_id"], ["session_id", "cart_time"]),
+    "cart_facts": (["product_id"], ["product_id", "session_id"]),
 }
 
 
@@ -109,6 +111,11 @@ class Workspace:
         bound = self.rows_bound("inventory_events", "events", factor={"inventory_events": 2})
         return inventory.stock_check(self.cart_product_map, self.inventory_events_temp, self.hot_key_rows, bound)
 
+    @cached_property
+    def cart_facts(self) -> DataFrame:
+        """Stock-check rows with their session's purchase flag and source (all abandonment metrics)."""
+        return abandonment.cart_facts(self.stock_check, self.events_temp)
+
     # -- slicers (dashboard cross-filters, D8) ----------------------------------------------
     def sliced(self, **predicates: Column) -> Workspace:
         """A workspace whose staged tables are restricted, e.g. ``sliced(events_temp=col('browser') == 'IE')``.

@@ -73,7 +73,8 @@ def test_m2b_session_over_two_sources(spark):
     # A18 takes MAX(traffic_source) per session: Search. Needs one mapped cart.
     cart_map = spark.createDataFrame([("s1", dt.datetime(2024, 1, 1), 1)], "session_id string, cart_time timestamp_ntz, product_id bigint")
     check = inventory.stock_check(cart_map, ws.inventory_events_temp)
-    assert rows(ab.abandonment_by_source(check, ws.events_temp), "traffic_source", "times_added_to_cart",
+    facts = ab.cart_facts(check, ws.events_temp)
+    assert rows(ab.abandonment_by_source(facts), "traffic_source", "times_added_to_cart",
                 "abandoned_count") == [("Search", 1, 0)]
 
 
@@ -226,7 +227,7 @@ def test_m11_all_carts_of_a_buying_session_are_bought(spark):
     events = [_event(1, "s1", "product", uri="/product/1"), _event(2, "s1", "cart"), _event(3, "s1", "cart"),
               _event(4, "s1", "purchase")]
     ws = make_workspace(spark, events=events)
-    assert rows(ab.abandonment_by_stock(ws.stock_check, ws.events_temp)) == [("Out of stock", 2, 0, 0.0)]
+    assert rows(ab.abandonment_by_stock(ws.cart_facts)) == [("Out of stock", 2, 0, 0.0)]
 
 
 # -- M12, M13: typed columns -------------------------------------------------------------------
