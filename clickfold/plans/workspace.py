@@ -10,6 +10,7 @@ Metric functions in :mod:`clickfold.plans` take DataFrames, so they work on eith
 from __future__ import annotations
 
 import os
+import uuid
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -139,13 +140,17 @@ class Workspace:
         and return a workspace that reads them back. Each write is one job; later metrics start
         from files, so an executor lost later never recomputes staging."""
         spark = self.events_temp.sparkSession
-        root = root or scratch_path(spark, "workspace")
-        tables = {}
+        root = root or scratch_path(spark, f"workspace-{uuid.uuid4().hex[:12]}")
+        # Tables already given to this workspace (e.g. by a slicer) carry over; every other table
+        # is derived from the files written before it (names are in dependency order), so each
+        # stage of the chain runs exactly once.
+        seeded = {n: self.__dict__[n] for n in STAGED + DERIVED if n in self.__dict__}
+        ws = Workspace(self.raw, hot_key_rows=self.hot_key_rows, tables=seeded, counts=self._counts)
         for name in names:
-            df = getattr(self, name)
+            df = getattr(ws, name)
             cluster, sort = LAYOUT[name]
             path = os.path.join(root, name)
             (df.repartition(*cluster).sortWithinPartitions(*sort)
              .write.mode("overwrite").parquet(path))
-            tables[name] = spark.read.parquet(path)
-        return Workspace(self.raw, hot_key_rows=self.hot_key_rows, tables=tables, counts=self._counts)
+            ws.__dict__[name] = spark.read.parquet(path)
+        return ws

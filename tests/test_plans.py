@@ -85,3 +85,16 @@ def test_views_registered(spark):
     listed = {t.name for t in spark.catalog.listTables() if t.name.startswith("vw_")}
     assert len(listed) == 12 and listed <= set(names)
     assert spark.sql("SELECT * FROM vw_funnel_overview").count() == 1
+
+
+def test_refresh_job_writes_the_twelve_views(spark, raw_dir):
+    from conftest import rows
+
+    from clickfold.plans.catalog import VIEWS
+    from clickfold.plans.refresh import refresh
+    out = tempfile.mkdtemp(prefix="clickfold-views-")
+    written = refresh(spark, raw_dir, out)
+    assert set(written) == set(VIEWS)
+    lazy = Workspace(read_raw(spark, raw_dir))
+    for name in ("vw_abandonment_by_category", "vw_repeat_rate", "vw_revenue_trend_by_traffic"):
+        assert rows(spark.read.parquet(written[name])) == rows(VIEWS[name](lazy)), name
