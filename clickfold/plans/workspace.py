@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from clickfold.operators import inventory, staging
 from clickfold.plans import abandonment
 from clickfold.session import scratch_path
-from clickfold.sources.raw import RawTables
+from clickfold.sources.raw import LazyRawTables, RawTables
 
 STAGED = ("events_temp", "inventory_events_temp", "orders_temp", "order_items_temp", "users_temp", "products")
 DERIVED = ("cart_product_map", "stock_timeline", "stock_check", "cart_facts")
@@ -40,7 +40,7 @@ LAYOUT = {
 
 
 class Workspace:
-    def __init__(self, raw: RawTables | None = None, *, hot_key_rows: int | None = None,
+    def __init__(self, raw: RawTables | LazyRawTables | None = None, *, hot_key_rows: int | None = None,
                  tables: dict[str, DataFrame] | None = None, counts: dict[str, int] | None = None):
         self.raw = raw
         self.hot_key_rows = hot_key_rows

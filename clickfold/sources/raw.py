@@ -9,6 +9,7 @@ metric runs into the scan.
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,21 +27,40 @@ class RawTables:
     inventory_events: DataFrame
 
 
-def read_raw(spark: SparkSession, root: str, fmt: str = "parquet", options: dict | None = None) -> RawTables:
+class LazyRawTables:
+    """The six raw tables, each built on first access (a query touching one table lists one folder)."""
+
+    def __init__(self, loaders: dict[str, Callable[[], DataFrame]]):
+        missing = set(RAW_SCHEMAS) - set(loaders)
+        if missing:
+            raise ValueError(f"no loader for {sorted(missing)}")
+        self._loaders = loaders
+        self._frames: dict[str, DataFrame] = {}
+
+    def __getattr__(self, name: str) -> DataFrame:
+        loaders = self.__dict__.get("_loaders", {})
+        if name not in loaders:
+            raise AttributeError(name)
+        if name not in self._frames:
+            self._frames[name] = loaders[name]()
+        return self._frames[name]
+
+
+def read_raw(spark: SparkSession, root: str, fmt: str = "parquet", options: dict | None = None) -> LazyRawTables:
     """Read ``<root>/<table>`` for every raw table with its explicit schema.
 
     ``fmt`` is any Spark batch format (``parquet``, ``csv``, ``json``, ``orc``); for CSV pass
     ``options={"header": "true"}`` as needed. Columns missing from a file come back NULL, extra
     columns are ignored (the schema is applied by name).
     """
-    frames = {}
-    for name, schema in RAW_SCHEMAS.items():
-        reader = spark.read.format(fmt).schema(schema).options(**(options or {}))
-        frames[name] = reader.load(os.path.join(root, name))
-    return RawTables(**frames)
+    def loader(name: str) -> Callable[[], DataFrame]:
+        reader = spark.read.format(fmt).schema(RAW_SCHEMAS[name]).options(**(options or {}))
+        return lambda: reader.load(os.path.join(root, name))
+
+    return LazyRawTables({name: loader(name) for name in RAW_SCHEMAS})
 
 
-def register_raw(raw: RawTables, prefix: str = "") -> None:
+def register_raw(raw: RawTables | LazyRawTables, prefix: str = "") -> None:
     """Expose the raw tables as temp views (``events``, ``orders``, ...) for SQL users."""
     for name in RAW_SCHEMAS:
         getattr(raw, name).createOrReplaceTempView(prefix + name)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickfold.operators.scan import running_sum
-from clickfold.sources.raw import RawTables
+from clickfold.sources.raw import LazyRawTables
 
 # Fixed values of the test mapping.
 SESSION_SECONDS = 172800
@@ -154,12 +154,14 @@ def raw_inventory_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_tables(spark: SparkSession, sf_dir: str) -> RawTables:
-    return RawTables(
-        events=raw_events(spark, sf_dir),
-        orders=raw_orders(spark, sf_dir),
-        order_items=raw_order_items(spark, sf_dir),
-        users=raw_users(spark, sf_dir),
-        products=raw_products(spark, sf_dir),
-        inventory_events=raw_inventory_events(spark, sf_dir),
-    )
+def raw_tables(spark: SparkSession, sf_dir: str) -> LazyRawTables:
+    """The six raw tables derived from the test folder, each built when first used."""
+    builders = {
+        "events": raw_events,
+        "orders": raw_orders,
+        "order_items": raw_order_items,
+        "users": raw_users,
+        "products": raw_products,
+        "inventory_events": raw_inventory_events,
+    }
+    return LazyRawTables({name: (lambda b=build: b(spark, sf_dir)) for name, build in builders.items()})
