@@ -98,3 +98,18 @@ def test_refresh_job_writes_the_twelve_views(spark, raw_dir):
     lazy = Workspace(read_raw(spark, raw_dir))
     for name in ("vw_abandonment_by_category", "vw_repeat_rate", "vw_revenue_trend_by_traffic"):
         assert rows(spark.read.parquet(written[name])) == rows(VIEWS[name](lazy)), name
+
+
+def test_csv_landing_folder(spark):
+    """Raw tables arriving as CSV with headers read through the same explicit schemas."""
+    from conftest import rows
+
+    from clickfold.sources.testdata import raw_tables
+    root = tempfile.mkdtemp(prefix="clickfold-csv-")
+    raw = raw_tables(spark, SF)
+    for name in ("events", "orders", "order_items", "users", "products", "inventory_events"):
+        getattr(raw, name).write.mode("overwrite").option("header", "true").csv(os.path.join(root, name))
+    from_csv = Workspace(read_raw(spark, root, "csv", {"header": "true"}))
+    lazy = Workspace.from_testdata(spark, SF)
+    for key in ("dedupe_users", "stock_check", "revenue_by_source", "funnel_by_browser"):
+        assert rows(QUERIES[key](from_csv)) == rows(QUERIES[key](lazy)), key
