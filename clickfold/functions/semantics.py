@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 ColumnOrName = Column | str
 
@@ -41,6 +42,10 @@ OUT_OF_STOCK = "Out of stock"
 # Default minimum number of abandoned out-of-stock cart rows for a category to be reported.
 REVENUE_AT_RISK_MIN_ROWS = 200
 
+# Spark collation with the comparison rules of SQL Server's default collations (S5, S6): equality,
+# IN, GROUP BY, MAX and REPLACE ignore case and trailing blanks.
+TSQL_COLLATION = "UTF8_LCASE_RTRIM"
+
 
 def _col(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -131,3 +136,16 @@ def money_avg(price: ColumnOrName) -> Column:
 def stock_status(level: ColumnOrName) -> Column:
     """``CASE WHEN ISNULL(level, 0) > 0 THEN 'In stock' ELSE 'Out of stock' END``."""
     return F.when(F.coalesce(_col(level), F.lit(0)) > 0, F.lit(IN_STOCK)).otherwise(F.lit(OUT_OF_STOCK))
+
+
+def collate_strings(df: DataFrame, collation: str | None) -> DataFrame:
+    """Give every string column of a raw table ``collation`` (no-op for ``None``).
+
+    With :data:`TSQL_COLLATION` all later comparisons, groupings and joins on these columns --
+    event types, statuses, sources, e-mails, session ids -- behave as under SQL Server's default
+    collation, and ``' UTC'`` is stripped whatever its case. Values keep their original text.
+    """
+    if not collation:
+        return df
+    return df.select(*[F.collate(F.col(f.name), collation).alias(f.name) if isinstance(f.dataType, StringType)
+                       else F.col(f.name) for f in df.schema.fields])

@@ -61,9 +61,10 @@ def stock_check(cart_map: DataFrame, inventory_temp: DataFrame, hot_key_rows: in
 
     Level > 0 at or before the cart time -> ``In stock``; 0, negative, or no history -> ``Out of stock``.
     """
+    session_type = cart_map.schema["session_id"].dataType  # keeps a collation, if any
     stock = (stock_deltas(inventory_temp).filter(F.col("product_id").isNotNull())
              .select("product_id", "t", "delta", F.lit(0).alias("kind"),
-                     F.lit(None).cast("string").alias("session_id"),
+                     F.lit(None).cast(session_type).alias("session_id"),
                      F.lit(None).cast("timestamp_ntz").alias("cart_time")))
     carts = cart_map.select("product_id", F.col("cart_time").alias("t"), F.lit(0).alias("delta"),
                             F.lit(1).alias("kind"), "session_id", "cart_time")

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from clickfold.functions.semantics import REVENUE_AT_RISK_MIN_ROWS, money_total, rate
 from clickfold.plans import abandonment, funnel, retention, traffic
@@ -79,7 +80,8 @@ def highest_risk_cards(ws: Workspace) -> DataFrame:
     with_prod = facts.join(prod, F.col("product_id") == F.col("__pid"), "inner")
 
     def top(df: DataFrame, label, dimension: str) -> DataFrame:
-        agg = (df.groupBy(label.alias("label"))
+        # labels of the three cards share one column: plain (binary) strings
+        agg = (df.groupBy(label.cast(StringType()).alias("label"))
                .agg(F.count(F.lit(1)).alias("times_added_to_cart"),
                     F.sum(F.when(F.col("has_purchase") == 0, 1).otherwise(0)).alias("abandoned_count"))
                .withColumn("abandonment_rate", rate("abandoned_count", "times_added_to_cart")))

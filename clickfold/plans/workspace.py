@@ -15,6 +15,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
+from clickfold.functions.semantics import collate_strings
 from clickfold.operators import inventory, staging
 from clickfold.plans import abandonment
 from clickfold.session import scratch_path
@@ -41,9 +42,14 @@ LAYOUT = {
 
 class Workspace:
     def __init__(self, raw: RawTables | LazyRawTables | None = None, *, hot_key_rows: int | None = None,
-                 tables: dict[str, DataFrame] | None = None, counts: dict[str, int] | None = None):
+                 tables: dict[str, DataFrame] | None = None, counts: dict[str, int] | None = None,
+                 collation: str | None = None):
+        """``collation``: ``None`` compares text byte-wise (the default decision of SURVEY S5);
+        :data:`clickfold.functions.semantics.TSQL_COLLATION` reproduces SQL Server's case- and
+        trailing-blank-insensitive comparisons for every raw string column."""
         self.raw = raw
         self.hot_key_rows = hot_key_rows
+        self.collation = collation
         self._counts = counts if counts is not None else {}
         for name, df in (tables or {}).items():
             self.__dict__[name] = df  # pre-seeds the cached properties
@@ -70,30 +76,33 @@ class Workspace:
         from clickfold.sources.testdata import raw_tables
         return cls(raw_tables(spark, sf_dir), **kw)
 
+    def _source(self, name: str) -> DataFrame:
+        return collate_strings(getattr(self.raw, name), self.collation)
+
     # -- staged (preprocessing) -------------------------------------------------------------
     @cached_property
     def events_temp(self) -> DataFrame:
-        return staging.stage_events(self.raw.events)
+        return staging.stage_events(self._source("events"))
 
     @cached_property
     def inventory_events_temp(self) -> DataFrame:
-        return staging.stage_inventory_events(self.raw.inventory_events)
+        return staging.stage_inventory_events(self._source("inventory_events"))
 
     @cached_property
     def orders_temp(self) -> DataFrame:
-        return staging.stage_orders(self.raw.orders)
+        return staging.stage_orders(self._source("orders"))
 
     @cached_property
     def order_items_temp(self) -> DataFrame:
-        return staging.stage_order_items(self.raw.order_items, self.raw.orders)
+        return staging.stage_order_items(self._source("order_items"), self._source("orders"))
 
     @cached_property
     def users_temp(self) -> DataFrame:
-        return staging.dedupe_users(self.raw.users)
+        return staging.dedupe_users(self._source("users"))
 
     @cached_property
     def products(self) -> DataFrame:
-        return self.raw.products
+        return self._source("products")
 
     # -- derived (analysis) -----------------------------------------------------------------
     @cached_property
@@ -132,7 +141,8 @@ class Workspace:
         if predicates:
             raise KeyError(f"slicers only apply to staged tables {STAGED}, got {sorted(predicates)}")
         # Row bounds of the unrestricted tables still bound the restricted ones.
-        return Workspace(self.raw, hot_key_rows=self.hot_key_rows, tables=tables, counts=self._counts)
+        return Workspace(self.raw, hot_key_rows=self.hot_key_rows, tables=tables, counts=self._counts,
+                         collation=self.collation)
 
     # -- materialisation --------------------------------------------------------------------
     def materialize(self, root: str | None = None, names: tuple[str, ...] = STAGED + DERIVED) -> Workspace:
@@ -145,7 +155,8 @@ class Workspace:
         # is derived from the files written before it (names are in dependency order), so each
         # stage of the chain runs exactly once.
         seeded = {n: self.__dict__[n] for n in STAGED + DERIVED if n in self.__dict__}
-        ws = Workspace(self.raw, hot_key_rows=self.hot_key_rows, tables=seeded, counts=self._counts)
+        ws = Workspace(self.raw, hot_key_rows=self.hot_key_rows, tables=seeded, counts=self._counts,
+                       collation=self.collation)
         for name in names:
             df = getattr(ws, name)
             cluster, sort = LAYOUT[name]

@@ -35,3 +35,15 @@ def test_session_time_zone_does_not_matter(spark):
         assert _all(spark) == base
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_tsql_collation_changes_nothing_on_clean_text(spark):
+    """The test tables have no case or blank variants: every key gives the same rows either way."""
+    from clickfold.functions.semantics import TSQL_COLLATION
+    plain = Workspace.from_testdata(spark, SF)
+    tsql = Workspace(plain.raw, collation=TSQL_COLLATION)
+    # one key per family, including the two that union string columns (stock check, risk cards)
+    for key in ("stage_events", "dedupe_users", "stage_order_items", "stock_check", "repeat_rate",
+                "revenue_trend_by_source", "traffic_overview", "funnel_by_browser", "abandonment_by_source",
+                "highest_risk_cards", "product_to_cart_by_category", "channel_scorecard"):
+        assert rows(QUERIES[key](tsql)) == rows(QUERIES[key](plain)), key

@@ -242,3 +242,29 @@ def test_m13_timestamp_parse(spark):
                                   enumerate(["2024-01-02 03:04:05 UTC", "garbage", None])])
     got = [r["created_date_clean"] for r in staging.stage_events(ev).orderBy("id").collect()]
     assert got == [dt.datetime(2024, 1, 2, 3, 4, 5), None, None]
+
+
+# -- S5/S6: optional SQL Server comparison rules ------------------------------------------------
+
+def test_s5_tsql_collation(spark):
+    from clickfold.functions.semantics import TSQL_COLLATION
+    from clickfold.plans.workspace import Workspace
+    users = [{"id": 1, "email": "A@x", "traffic_source": "Search", "created_at": "2020-01-01 00:00:00 utc"},
+             {"id": 2, "email": "a@x ", "traffic_source": "Search", "created_at": "2021-01-01 00:00:00 UTC"}]
+    orders = [_order(1, "00:00:00", "cancelled", user=2), _order(2, "00:02:00", "Complete", user=2)]
+    events = [_event(1, "s1", "Cart"), _event(2, "s1", "purchase ")]
+    binary = make_workspace(spark, users=users, orders=orders, events=events)
+    tsql = Workspace(binary.raw, collation=TSQL_COLLATION)
+
+    assert binary.users_temp.count() == 2
+    assert rows(tsql.users_temp, "id", "is_duplicate_account") == [(2, 1)]
+    assert rows(binary.users_temp, "id", "created_date_clean")[0][1] is None  # 'utc' kept under binary
+    assert rows(tsql.users_temp.select("created_date_clean"))[0][0] == dt.datetime(2021, 1, 1)
+
+    assert rt.order_gap_buckets(binary.orders_temp).count() == 1  # 'cancelled' is not 'Cancelled'
+    assert tsql.orders_temp.filter(~F.col("status").isin("Cancelled", "Returned")).count() == 1
+
+    r = fn.funnel_overall(tsql.events_temp).collect()[0]
+    assert (r["cart_sessions"], r["purchase_sessions"]) == (1, 1)
+    r = fn.funnel_overall(binary.events_temp).collect()[0]
+    assert (r["cart_sessions"], r["purchase_sessions"]) == (0, 0)
