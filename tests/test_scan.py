@@ -71,3 +71,11 @@ def test_workspace_results_unchanged_by_slicing(spark):
     sliced = Workspace.from_testdata(spark, sf, hot_key_rows=3)
     assert rows(plain.stock_check) == rows(sliced.stock_check)
     assert rows(plain.stock_timeline) == rows(sliced.stock_timeline)
+
+
+def test_sampled_detection_finds_a_dominant_key(spark):
+    """With a threshold large enough to sample, a key holding most rows is still found."""
+    df = spark.range(0, 400_000).selectExpr("CASE WHEN id % 10 < 7 THEN 'hot' ELSE CAST(id AS STRING) END AS k")
+    hot = scan.hot_keys(df, ["k"], threshold=100_000, limit=10)
+    assert [h[0] for h in hot] == ["hot"]
+    assert 200_000 < hot[0][1] < 360_000  # estimate of 280,000 rows
