@@ -29,6 +29,25 @@ BASE_CONF = {
 }
 
 
+def cluster_conf(input_bytes: int, total_cores: int, partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Shuffle and scan sizing for a cluster run over ``input_bytes`` of raw data.
+
+    Initial shuffle partitions ~ one per ``partition_bytes`` of input (at least 2 per core), so a
+    reducer's share of the largest shuffle -- the events by session -- stays in memory-friendly
+    pieces; AQE then coalesces small partitions to the same advisory size and splits skewed join
+    partitions. Scans split files into 128 MB pieces. At 100 TB on 8,000 cores this gives ~400k
+    initial partitions, coalesced at run time.
+    """
+    partitions = max(2 * total_cores, -(-input_bytes // partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+        "spark.sql.files.maxPartitionBytes": str(128 << 20),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * partition_bytes),
+    }
+
+
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "clickfold",
                   extra: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.master(master).appName(app)
