@@ -57,12 +57,16 @@ class Workspace:
     # Stage whose row count equals that of each raw table (staging keeps every row).
     _STAGE_OF = {"events": "events_temp", "inventory_events": "inventory_events_temp", "orders": "orders_temp"}
 
-    def rows_bound(self, *tables: str, factor: dict[str, int] | None = None) -> int:
+    def rows_bound(self, *tables: str, factor: dict[str, int] | None = None) -> int | None:
         """Upper bound on the rows a keyed scan over these tables can see: their row counts.
 
-        A Parquet ``count()`` reads footers only; counts are cached per workspace. The keyed scans
-        skip their hot-key check when the bound cannot exceed the hot-key threshold.
+        A Parquet or ORC ``count()`` reads footers only; counts are cached per workspace. The keyed
+        scans skip their hot-key check when the bound cannot exceed the hot-key threshold. For
+        text landing folders (CSV, JSON) a count would read everything, so there is no bound and
+        the (sampled) hot-key check runs instead.
         """
+        if self.raw is not None and not getattr(self.raw, "count_is_cheap", True):
+            return None
         total = 0
         for name in tables:
             if name not in self._counts:

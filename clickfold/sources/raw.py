@@ -30,12 +30,14 @@ class RawTables:
 class LazyRawTables:
     """The six raw tables, each built on first access (a query touching one table lists one folder)."""
 
-    def __init__(self, loaders: dict[str, Callable[[], DataFrame]]):
+    def __init__(self, loaders: dict[str, Callable[[], DataFrame]], count_is_cheap: bool = True):
+        """``count_is_cheap``: row counts come from file footers (Parquet, ORC), not a full read."""
         missing = set(RAW_SCHEMAS) - set(loaders)
         if missing:
             raise ValueError(f"no loader for {sorted(missing)}")
         self._loaders = loaders
         self._frames: dict[str, DataFrame] = {}
+        self.count_is_cheap = count_is_cheap
 
     def __getattr__(self, name: str) -> DataFrame:
         loaders = self.__dict__.get("_loaders", {})
@@ -57,7 +59,8 @@ def read_raw(spark: SparkSession, root: str, fmt: str = "parquet", options: dict
         reader = spark.read.format(fmt).schema(RAW_SCHEMAS[name]).options(**(options or {}))
         return lambda: reader.load(os.path.join(root, name))
 
-    return LazyRawTables({name: loader(name) for name in RAW_SCHEMAS})
+    return LazyRawTables({name: loader(name) for name in RAW_SCHEMAS},
+                         count_is_cheap=fmt.lower() in ("parquet", "orc"))
 
 
 def register_raw(raw: RawTables | LazyRawTables, prefix: str = "") -> None:
