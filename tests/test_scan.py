@@ -79,3 +79,20 @@ def test_sampled_detection_finds_a_dominant_key(spark):
     hot = scan.hot_keys(df, ["k"], threshold=100_000, limit=10)
     assert [h[0] for h in hot] == ["hot"]
     assert 200_000 < hot[0][1] < 360_000  # estimate of 280,000 rows
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+_row = st.tuples(st.sampled_from(["a", "b", "c", None]), st.integers(0, 6),
+                 st.one_of(st.none(), st.integers(-5, 5)))
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(data=st.lists(_row, min_size=1, max_size=60), threshold=st.integers(1, 20),
+       kind=st.sampled_from([scan.SUM, scan.FILL, scan.LAG]))
+def test_property_sliced_equals_window(spark, data, threshold, kind):
+    df = spark.createDataFrame([(i, k, t, v) for i, (k, t, v) in enumerate(data)], "id long, k string, t int, v int")
+    plain = scan.keyed_scan(df, ["k"], ["t", "id"], "v", "out", kind, hot_key_rows=0)
+    sliced = scan.keyed_scan(df, ["k"], ["t", "id"], "v", "out", kind, hot_key_rows=threshold)
+    assert rows(plain, "id", "out") == rows(sliced, "id", "out")
