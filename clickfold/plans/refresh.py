@@ -6,7 +6,8 @@ same in one session:
 
 1. read the raw tables (explicit schemas, any batch format);
 2. materialise staged and derived tables once into the shared checkpoint folder (cluster-wide
-   storage, so a lost executor never recomputes the chain);
+   storage, so a lost executor never recomputes the chain), bucketed by their keys so that the
+   views read them without shuffling on session, product, user or order;
 3. compute each ``vw_*`` from the written tables and write it as Parquet under ``out_dir``
    (small aggregates; ``coalesce(1)`` keeps one file each), and register it as a temp view.
 
@@ -27,8 +28,11 @@ from clickfold.sources.raw import read_raw
 
 
 def refresh(spark: SparkSession, raw_dir: str, out_dir: str, fmt: str = "parquet",
-            options: dict | None = None) -> dict[str, str]:
-    ws = Workspace(read_raw(spark, raw_dir, fmt, options)).materialize()
+            options: dict | None = None, buckets: int | None = None) -> dict[str, str]:
+    """``buckets``: bucket count of the materialised tables. Aim for bucket files of a few hundred
+    MB of the largest table (events); the default is the session's shuffle partitions."""
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ws = Workspace(read_raw(spark, raw_dir, fmt, options)).materialize(buckets=buckets)
     written = {}
     for name, query in VIEWS.items():
         df = query(ws)

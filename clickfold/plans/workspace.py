@@ -149,12 +149,22 @@ class Workspace:
                          collation=self.collation)
 
     # -- materialisation --------------------------------------------------------------------
-    def materialize(self, root: str | None = None, names: tuple[str, ...] = STAGED + DERIVED) -> Workspace:
+    def materialize(self, root: str | None = None, names: tuple[str, ...] = STAGED + DERIVED,
+                    buckets: int | None = None) -> Workspace:
         """Write the named tables as Parquet under ``root`` (default: the shared checkpoint folder)
         and return a workspace that reads them back. Each write is one job; later metrics start
-        from files, so an executor lost later never recomputes staging."""
+        from files, so an executor lost later never recomputes staging.
+
+        With ``buckets``, every table is written as a bucketed catalog table (``bucketBy`` on its
+        layout key, files under ``root``): events, cart map and stock check by session, inventory,
+        timeline and cart facts by product, orders by user, items by order. Spark then reads each
+        table already hash-partitioned by that key, so the per-session rollups, the forward fill,
+        the order lag and the joins on those keys need no shuffle at all. Tables are registered in
+        the session catalog (a metastore on a cluster) under ``clickfold_<run>_<name>``.
+        """
         spark = self.events_temp.sparkSession
-        root = root or scratch_path(spark, f"workspace-{uuid.uuid4().hex[:12]}")
+        run = uuid.uuid4().hex[:12]
+        root = root or scratch_path(spark, f"workspace-{run}")
         # Tables already given to this workspace (e.g. by a slicer) carry over; every other table
         # is derived from the files written before it (names are in dependency order), so each
         # stage of the chain runs exactly once.
@@ -165,7 +175,14 @@ class Workspace:
             df = getattr(ws, name)
             cluster, sort = LAYOUT[name]
             path = os.path.join(root, name)
-            (df.repartition(*cluster).sortWithinPartitions(*sort)
-             .write.mode("overwrite").parquet(path))
-            ws.__dict__[name] = spark.read.parquet(path)
+            if buckets:
+                table = f"clickfold_{run}_{name}"
+                # hash-repartitioned like the buckets: each task writes one file per bucket
+                (df.repartition(buckets, *cluster).write.bucketBy(buckets, *cluster).sortBy(*sort)
+                 .option("path", path).mode("overwrite").saveAsTable(table))
+                ws.__dict__[name] = spark.table(table)
+            else:
+                (df.repartition(*cluster).sortWithinPartitions(*sort)
+                 .write.mode("overwrite").parquet(path))
+                ws.__dict__[name] = spark.read.parquet(path)
         return ws

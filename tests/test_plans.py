@@ -113,3 +113,16 @@ def test_csv_landing_folder(spark):
     lazy = Workspace.from_testdata(spark, SF)
     for key in ("dedupe_users", "stock_check", "revenue_by_source", "funnel_by_browser"):
         assert rows(QUERIES[key](from_csv)) == rows(QUERIES[key](lazy)), key
+
+
+def test_bucketed_materialization_avoids_shuffles(spark):
+    import re
+
+    from conftest import rows
+    ws = Workspace.from_testdata(spark, SF)
+    bucketed = ws.materialize(tempfile.mkdtemp(prefix="clickfold-bk-"), buckets=4)
+    for key in ("cart_product_map", "abandonment_by_stock", "funnel_by_source", "repeat_rate",
+                "revenue_by_source", "vw_abandonment_by_category"):
+        assert rows(QUERIES[key](bucketed)) == rows(QUERIES[key](ws)), key
+    plan = _plan(QUERIES["cart_product_map"](bucketed))
+    assert not re.search(r"Exchange hashpartitioning", plan)  # the fill reads the session buckets
