@@ -3,13 +3,12 @@
 The reference names these measures (overall AOV, overall repeat rate, TOPN "highest risk" cards,
 traffic mix, channel scorecard, revenue at risk, overview KPIs) but ships no formula, so the
 formulas are ours, built from the published views. Every input here is an aggregate with at most
-one row per source, category or tier, so the global aggregates and one-row cross joins below move
-only a handful of rows.
+one row per source, category or tier, so the global aggregates below move only a handful of rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -32,12 +31,14 @@ def overall_repeat_rate(ws: Workspace) -> DataFrame:
 
 
 def traffic_mix(ws: Workspace) -> DataFrame:
-    """Each session source's share of sessions (V1)."""
+    """Each session source's share of sessions (V1).
+
+    The total is a window over the whole of V1, which has one row per source: the single window
+    partition holds a handful of rows whatever the data size.
+    """
     v1 = traffic.traffic_overview(ws.events_temp, ordered=False).select("traffic_source", "total_sessions")
-    total = v1.agg(F.sum("total_sessions").alias("__all_sessions"))  # one row
-    return (v1.crossJoin(F.broadcast(total))
-            .select("traffic_source", "total_sessions",
-                    rate("total_sessions", "__all_sessions").alias("session_share")))
+    all_sessions = F.sum("total_sessions").over(Window.partitionBy())
+    return v1.select("traffic_source", "total_sessions", rate("total_sessions", all_sessions).alias("session_share"))
 
 
 def channel_scorecard(ws: Workspace) -> DataFrame:
@@ -65,8 +66,11 @@ def overview_kpis(ws: Workspace) -> DataFrame:
                      rate(money_total("total_revenue"), F.sum("total_orders")).alias("overall_aov"))
     a15 = abandonment.abandonment_by_stock(ws.cart_facts)
     aband = a15.agg(rate(F.sum("abandoned_carts"), F.sum("total_carts")).alias("abandonment_rate"))
-    # Three one-row aggregates: the cross joins pair single rows.
-    return sessions.crossJoin(revenue).crossJoin(aband)
+    # Three one-row aggregates side by side: stack them (missing columns NULL) and keep each
+    # column's one value with a global aggregate -- no join.
+    kpis = ["total_sessions", "total_revenue", "overall_aov", "abandonment_rate"]
+    stacked = sessions.unionByName(revenue, allowMissingColumns=True).unionByName(aband, allowMissingColumns=True)
+    return stacked.agg(*[F.max(c).alias(c) for c in kpis])
 
 
 def highest_risk_cards(ws: Workspace) -> DataFrame:
