@@ -2,8 +2,7 @@
 
 Every funnel, traffic and abandonment metric starts from flags per session at some grain. A
 rollup is a hash aggregation: partial aggregation runs map-side, so a hot session reaches the
-shuffle as one row per task. ``MAX`` re-aggregates exactly, so a coarser grain can be derived
-from a finer, materialised one with :func:`reroll`.
+shuffle as one row per task.
 """
 
 from __future__ import annotations
@@ -23,17 +22,3 @@ def rollup(events_temp: DataFrame, keys: Sequence[str | Column], flags: Mapping[
     """Group ``events_temp`` by ``keys``; one 0/1 column per ``{name: event_type}`` in ``flags``."""
     aggs = [F.max(event_flag(event_type)).alias(name) for name, event_type in flags.items()]
     return events_temp.groupBy(*keys).agg(*aggs, *extra)
-
-
-def reroll(rolled: DataFrame, keys: Sequence[str], flags: Sequence[str]) -> DataFrame:
-    return rolled.groupBy(*keys).agg(*[F.max(f).alias(f) for f in flags])
-
-
-def purchase_by_session(events_temp: DataFrame) -> DataFrame:
-    """``SELECT session_id, MAX(purchase flag) AS has_purchase ... GROUP BY session_id``."""
-    return rollup(events_temp, ["session_id"], {"has_purchase": "purchase"})
-
-
-def session_traffic(events_temp: DataFrame) -> DataFrame:
-    """One source per session, ``MAX(traffic_source)``."""
-    return events_temp.groupBy("session_id").agg(F.max("traffic_source").alias("traffic_source"))

@@ -61,9 +61,3 @@ def read_raw(spark: SparkSession, root: str, fmt: str = "parquet", options: dict
 
     return LazyRawTables({name: loader(name) for name in RAW_SCHEMAS},
                          count_is_cheap=fmt.lower() in ("parquet", "orc"))
-
-
-def register_raw(raw: RawTables | LazyRawTables, prefix: str = "") -> None:
-    """Expose the raw tables as temp views (``events``, ``orders``, ...) for SQL users."""
-    for name in RAW_SCHEMAS:
-        getattr(raw, name).createOrReplaceTempView(prefix + name)

@@ -123,3 +123,10 @@ def test_bucketed_materialization_avoids_shuffles(spark):
         assert rows(QUERIES[key](bucketed)) == rows(QUERIES[key](ws)), key
     plan = _plan(QUERIES["cart_product_map"](bucketed))
     assert not re.search(r"Exchange hashpartitioning", plan)  # the fill reads the session buckets
+
+
+def test_cluster_conf_sizes_partitions_by_input():
+    from clickfold.session import cluster_conf
+    conf = cluster_conf(100 * 2 ** 40, total_cores=8000)
+    assert int(conf["spark.sql.shuffle.partitions"]) == 409_600  # 100 TiB / 256 MiB
+    assert int(cluster_conf(2 ** 30, total_cores=64)["spark.sql.shuffle.partitions"]) == 128
