@@ -130,3 +130,18 @@ def test_cluster_conf_sizes_partitions_by_input():
     conf = cluster_conf(100 * 2 ** 40, total_cores=8000)
     assert int(conf["spark.sql.shuffle.partitions"]) == 409_600  # 100 TiB / 256 MiB
     assert int(cluster_conf(2 ** 30, total_cores=64)["spark.sql.shuffle.partitions"]) == 128
+
+
+def test_slicer_narrows_every_stage(spark):
+    """The site funnel over a browser-sliced workspace is that browser's row of A9."""
+    from pyspark.sql import functions as F
+
+    from clickfold.plans import funnel as fn
+    ws = Workspace.from_testdata(spark, SF)
+    chrome = ws.sliced(events_temp=F.col("browser") == "Chrome")
+    overall = fn.funnel_overall(chrome.events_temp).collect()[0]
+    by_browser = {r["browser"]: r for r in fn.funnel(ws.events_temp, "browser").collect()}["Chrome"]
+    for c in ("product_view_sessions", "cart_sessions", "purchase_sessions"):
+        assert overall[c] == by_browser[c], c
+    # derived tables are rebuilt from the sliced events: fewer mapped carts than unsliced
+    assert 0 < chrome.cart_product_map.count() < ws.cart_product_map.count()
