@@ -96,3 +96,23 @@ def test_property_sliced_equals_window(spark, data, threshold, kind):
     plain = scan.keyed_scan(df, ["k"], ["t", "id"], "v", "out", kind, hot_key_rows=0)
     sliced = scan.keyed_scan(df, ["k"], ["t", "id"], "v", "out", kind, hot_key_rows=threshold)
     assert rows(plain, "id", "out") == rows(sliced, "id", "out")
+
+
+def test_a_third_of_all_rows_in_one_session_and_one_product(spark):
+    """The task's skew model, derived from the test tables: one session and one product each
+    hold about a third of their tables. The sliced chain equals the plain window chain."""
+    from clickfold.plans.workspace import Workspace
+    from clickfold.sources.testdata import raw_tables
+    raw = raw_tables(spark, "/root/testdata/sf0.01")
+    events = raw.events.withColumn(
+        "session_id", F.when(F.col("id") % 3 == 0, F.lit("HOT")).otherwise(F.col("session_id")))
+    inventory = raw.inventory_events.withColumn(
+        "product_id", F.when(F.hash("created_at", "sold_at") % 3 == 0, F.lit(7)).otherwise(F.col("product_id")))
+    from clickfold.operators import staging
+    tables = {"events_temp": staging.stage_events(events),
+              "inventory_events_temp": staging.stage_inventory_events(inventory)}
+    plain = Workspace(raw, hot_key_rows=0, tables=dict(tables))
+    sliced = Workspace(raw, hot_key_rows=500, tables=dict(tables))
+    assert rows(plain.cart_product_map) == rows(sliced.cart_product_map)
+    assert rows(plain.stock_check) == rows(sliced.stock_check)
+    assert rows(plain.stock_timeline) == rows(sliced.stock_timeline)
