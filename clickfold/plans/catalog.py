@@ -117,3 +117,8 @@ def register_views(ws: Workspace, with_stages: bool = True) -> list[str]:
         query(ws).createOrReplaceTempView(name)
         names.append(name)
     return names
+
+
+def list_views(spark) -> list[str]:
+    """The published views of this session (the reference lists ``sys.views`` named ``vw_%``)."""
+    return sorted(t.name for t in spark.catalog.listTables(pattern="vw_*"))

@@ -79,8 +79,9 @@ def test_views_registered(spark):
     from clickfold.plans.catalog import register_views
     ws = make_workspace(spark)
     names = register_views(ws)
-    listed = {t.name for t in spark.catalog.listTables() if t.name.startswith("vw_")}
-    assert len(listed) == 12 and listed <= set(names)
+    from clickfold.plans.catalog import VIEWS, list_views
+    listed = set(list_views(spark))
+    assert listed == set(VIEWS) and listed <= set(names)
     assert spark.sql("SELECT * FROM vw_funnel_overview").count() == 1
 
 
