@@ -58,10 +58,16 @@ def main() -> int:
         QUERIES[key](ws).write.format("noop").mode("overwrite").save()
         return time.time() - start
 
-    results = {}
+    results, failed = {}, []
     for key in keys:
-        run_once(key)  # warm-up: JIT, codegen caches, file listing
-        times = [run_once(key) for _ in range(runs)]
+        try:
+            run_once(key)  # warm-up: JIT, codegen caches, file listing
+            times = [run_once(key) for _ in range(runs)]
+        except Exception as exc:  # noqa: BLE001 - one failing key must not lose the others' timings
+            failed.append(key)
+            results[key] = None
+            log(f"{key:38s} FAILED: {type(exc).__name__}: {str(exc)[:300]}")
+            continue
         results[key] = round(statistics.median(times), 3)
         log(f"{key:38s} {results[key]:.3f}s  runs={[round(t, 3) for t in times]}")
 
@@ -74,7 +80,7 @@ def main() -> int:
         refresh_sec = round(time.time() - start, 3)
         log(f"dashboard refresh (materialise + 12 views) {refresh_sec:.3f}s")
 
-    total = round(sum(results.values()), 3)
+    total = round(sum(v for v in results.values() if v is not None), 3)
     print(json.dumps({
         "metric": "sum_of_median_query_seconds",
         "value": total,
@@ -85,6 +91,7 @@ def main() -> int:
         "runs": runs,
         "load_raw_sec": round(load_raw, 3),
         "dashboard_refresh_sec": refresh_sec,
+        "failed": failed,
     }))
     spark.stop()
     return 0
