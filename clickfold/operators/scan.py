@@ -36,6 +36,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clickfold.session import checkpoint_dir
+
 HOT_KEY_ROWS_CONF = "clickfold.scan.hotKeyRows"
 SLICES_CONF = "clickfold.scan.slices"
 DEFAULT_HOT_KEY_ROWS = 4_000_000
@@ -181,6 +183,7 @@ def keyed_scan(df: DataFrame, keys: Sequence[str], order: Sequence, value, out:
 
 def _sliced_scan(df: DataFrame, keys: list[str], order: list[Column], out: str, kind: str,
                  n_slices: int) -> DataFrame:
+    checkpoint_dir(df.sparkSession)  # the cluster's shared folder; a private one only in local mode
     ranged = (df.repartitionByRange(n_slices, *[F.col(k) for k in keys], *order)
               .withColumn(_S, F.spark_partition_id()))
     part = [*keys, _S]
