@@ -146,3 +146,13 @@ def test_slicer_narrows_every_stage(spark):
         assert overall[c] == by_browser[c], c
     # derived tables are rebuilt from the sliced events: fewer mapped carts than unsliced
     assert 0 < chrome.cart_product_map.count() < ws.cart_product_map.count()
+
+
+def test_slicer_on_materialized_workspace_rebuilds_derived_tables(spark):
+    from conftest import rows
+    from pyspark.sql import functions as F
+    lazy = Workspace.from_testdata(spark, SF)
+    written = lazy.materialize(tempfile.mkdtemp(prefix="clickfold-ms-"))
+    chrome = F.col("browser") == "Chrome"
+    assert rows(QUERIES["abandonment_by_stock"](written.sliced(events_temp=chrome))) == \
+        rows(QUERIES["abandonment_by_stock_chrome"](lazy))
