@@ -2,10 +2,10 @@
 
 A cart row is a row of stock check, so abandonment counts cart *events*; any purchase event in the
 session marks all of its carts as bought. The reference joins a per-session purchase subquery
-(and, for the source breakdown, a second per-session subquery) into every metric. Here both come
-from one aggregation per session -- ``MAX(purchase flag)`` and ``MAX(traffic_source)`` grouped by
-session_id -- joined once into the **cart facts** (:func:`cart_facts`). Every metric below is a
-small aggregation over the facts; a workspace can materialise them once for all of them.
+(and, for the source breakdown, a second per-session subquery) into every metric. Here one
+aggregation per session -- ``MAX(purchase flag)``, plus ``MAX(traffic_source)`` only for the
+source breakdowns -- is joined once into the **cart facts** (:func:`cart_facts`). Every metric
+below is a small aggregation over the facts; a workspace can materialise them once for all.
 """
 
 from __future__ import annotations
@@ -39,15 +39,17 @@ def abandoned_sessions_count(events_temp: DataFrame) -> DataFrame:
     return abandoned_sessions(events_temp).agg(F.count(F.lit(1)).alias("total_abandoned_sessions"))
 
 
-def cart_facts(stock_check: DataFrame, events_temp: DataFrame) -> DataFrame:
-    """Stock-check rows with the session's ``has_purchase`` and ``traffic_source`` (inner join).
+def cart_facts(stock_check: DataFrame, events_temp: DataFrame, with_source: bool = False) -> DataFrame:
+    """Stock-check rows with the session's ``has_purchase`` (and ``traffic_source``), inner join.
 
-    One aggregation per session supplies both columns; the sessions without a mapped cart are
+    One aggregation per session supplies the columns; the sessions without a mapped cart are
     dropped by the join (AQE picks broadcast or sort-merge from the measured sizes, and splits a
-    session holding many carts with its skew-join handling).
+    session holding many carts with its skew-join handling). The source is asked for only where
+    needed: ``MAX`` of a string has no fixed-width buffer, so it turns the per-session hash
+    aggregation into a sort-based one.
     """
-    sessions = rollup(events_temp, ["session_id"], {"has_purchase": "purchase"},
-                      [F.max("traffic_source").alias("traffic_source")])
+    extra = [F.max("traffic_source").alias("traffic_source")] if with_source else []
+    sessions = rollup(events_temp, ["session_id"], {"has_purchase": "purchase"}, extra)
     return stock_check.join(sessions, "session_id", "inner")
 
 
@@ -89,7 +91,9 @@ def revenue_at_risk(facts: DataFrame, products: DataFrame, min_rows: int = REVEN
 
 
 def abandonment_by_source(facts: DataFrame, ordered: bool = True) -> DataFrame:
-    """Per session source, one source per session (``MAX(traffic_source)``)."""
+    """Per session source, one source per session (``MAX(traffic_source)``).
+
+    ``facts`` must carry the source: ``cart_facts(..., with_source=True)``."""
     out = _abandonment(facts, ["traffic_source"], "times_added_to_cart", "abandoned_count")
     return out.orderBy(F.desc("abandonment_rate")) if ordered else out
 

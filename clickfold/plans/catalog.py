@@ -45,7 +45,7 @@ VIEWS: dict[str, Query] = {
         ws.events_temp, ws.cart_product_map, ws.products, ordered=False),
     "vw_abandonment_by_category": lambda ws: ab.abandonment_by_stock_category(ws.cart_facts, ws.products,
                                                                              ordered=False),
-    "vw_abandonment_by_traffic": lambda ws: ab.abandonment_by_source(ws.cart_facts, ordered=False),
+    "vw_abandonment_by_traffic": lambda ws: ab.abandonment_by_source(ws.cart_facts_sourced, ordered=False),
     "vw_abandonment_by_price_tier": lambda ws: ab.vw_abandonment_by_price_tier(ws.cart_facts, ws.products),
     "vw_revenue_at_risk": lambda ws: ab.revenue_at_risk(ws.cart_facts, ws.products, ordered=False),
 }
@@ -84,7 +84,7 @@ QUERIES: dict[str, Query] = {
     "abandonment_by_stock_category": lambda ws: ab.abandonment_by_stock_category(ws.cart_facts, ws.products),
     "revenue_at_risk": lambda ws: ab.revenue_at_risk(ws.cart_facts, ws.products),
     "revenue_at_risk_min15": lambda ws: ab.revenue_at_risk(ws.cart_facts, ws.products, min_rows=SMALL_DATA_MIN_ROWS),
-    "abandonment_by_source": lambda ws: ab.abandonment_by_source(ws.cart_facts),
+    "abandonment_by_source": lambda ws: ab.abandonment_by_source(ws.cart_facts_sourced),
     "abandonment_by_price_tier": lambda ws: ab.abandonment_by_price_tier(ws.cart_facts, ws.products),
     "product_to_cart_by_category": lambda ws: fn.product_to_cart_by_category(
         ws.events_temp, ws.cart_product_map, ws.products),

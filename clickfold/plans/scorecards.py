@@ -79,7 +79,7 @@ def highest_risk_cards(ws: Workspace) -> DataFrame:
     Top 1 per dimension (the card is the feature); ties go to the smallest label, NULL first.
     Category is re-aggregated over stock status.
     """
-    facts = ws.cart_facts
+    facts = ws.cart_facts_sourced
     prod = ws.products.select(F.col("id").alias("__pid"), "category", "retail_price")
     with_prod = facts.join(prod, F.col("product_id") == F.col("__pid"), "inner")
 

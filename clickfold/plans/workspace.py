@@ -22,7 +22,9 @@ from clickfold.session import scratch_path
 from clickfold.sources.raw import LazyRawTables, RawTables
 
 STAGED = ("events_temp", "inventory_events_temp", "orders_temp", "order_items_temp", "users_temp", "products")
-DERIVED = ("cart_product_map", "stock_timeline", "stock_check", "cart_facts")
+DERIVED = ("cart_product_map", "stock_timeline", "stock_check", "cart_facts_sourced")
+# A written table that also serves as another (its columns are a superset).
+SERVES_AS = {"cart_facts_sourced": ("cart_facts",)}
 
 # File layout per table when written: (cluster key, sort within files). Mirrors the reference's
 # indexes on events (session_id, sequence_number) and inventory (product_id, created, sold).
@@ -36,7 +38,7 @@ LAYOUT = {
     "cart_product_map": (["session_id"], ["session_id", "cart_time"]),
     "stock_timeline": (["product_id"], ["product_id", "t"]),
     "stock_check": (["session_id"], ["session_id", "cart_time"]),
-    "cart_facts": (["product_id"], ["product_id", "session_id"]),
+    "cart_facts_sourced": (["product_id"], ["product_id", "session_id"]),
 }
 
 
@@ -127,9 +129,14 @@ class Workspace:
 
     @cached_property
     def cart_facts(self) -> DataFrame:
-        """Stock-check rows with their session's purchase flag and source (all abandonment metrics)."""
+        """Stock-check rows with their session's purchase flag (abandonment metrics)."""
         return abandonment.cart_facts(self.stock_check, self.events_temp)
 
+    @cached_property
+    def cart_facts_sourced(self) -> DataFrame:
+        """Cart facts with the session's source too (breakdowns by source)."""
+        return abandonment.cart_facts(self.stock_check, self.events_temp, with_source=True)
+
     # -- slicers (dashboard cross-filters, D8) ----------------------------------------------
     def sliced(self, **predicates: Column) -> Workspace:
         """A workspace whose staged tables are restricted, e.g. ``sliced(events_temp=col('browser') == 'IE')``.
@@ -168,7 +175,7 @@ class Workspace:
         # Tables already given to this workspace (e.g. by a slicer) carry over; every other table
         # is derived from the files written before it (names are in dependency order), so each
         # stage of the chain runs exactly once.
-        seeded = {n: self.__dict__[n] for n in STAGED + DERIVED if n in self.__dict__}
+        seeded = {n: self.__dict__[n] for n in STAGED + DERIVED + ("cart_facts",) if n in self.__dict__}
         ws = Workspace(self.raw, hot_key_rows=self.hot_key_rows, tables=seeded, counts=self._counts,
                        collation=self.collation)
         for name in names:
@@ -185,4 +192,6 @@ class Workspace:
                 (df.repartition(*cluster).sortWithinPartitions(*sort)
                  .write.mode("overwrite").parquet(path))
                 ws.__dict__[name] = spark.read.parquet(path)
+            for alias in SERVES_AS.get(name, ()):
+                ws.__dict__[alias] = ws.__dict__[name]
         return ws

@@ -73,7 +73,7 @@ def test_m2b_session_over_two_sources(spark):
     # A18 takes MAX(traffic_source) per session: Search. Needs one mapped cart.
     cart_map = spark.createDataFrame([("s1", dt.datetime(2024, 1, 1), 1)], "session_id string, cart_time timestamp_ntz, product_id bigint")
     check = inventory.stock_check(cart_map, ws.inventory_events_temp)
-    facts = ab.cart_facts(check, ws.events_temp)
+    facts = ab.cart_facts(check, ws.events_temp, with_source=True)
     assert rows(ab.abandonment_by_source(facts), "traffic_source", "times_added_to_cart",
                 "abandoned_count") == [("Search", 1, 0)]
 
