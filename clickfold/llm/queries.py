@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickfold.llm import ann, bpe, decontaminate, htmltext, langid, licenses, simhash
+from clickfold.llm import ann, bpe, decontaminate, htmltext, langid, licenses, maxent, simhash, suffixes
 from clickfold.llm.common import crc_share, table
 
 
@@ -29,6 +29,12 @@ def op3_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that lie in a 100-byte string that starts earlier, and what is left."""
+    rows = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in a window of a benchmark item."""
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -45,12 +51,20 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
 
+def op9_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model log10 probability of every document, learned from six sevenths of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scores = maxent.score_documents(docs, crc_share(F.col("doc_id"), 7) != 2)
+    held_out = F.coalesce(crc_share(F.col("doc_id"), 7) == 2, F.lit(False))
+    return scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and signature labels of every document."""
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash, op3_cross_polytope, op6_decontaminate,
-                                     op7_byte_bpe, op8_html_text, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash, op3_cross_polytope, op4_suffix_dedup, op6_decontaminate,
+                                     op7_byte_bpe, op8_html_text, op9_maxent, op10_licenses)}
 
 ORACLES: dict[str, str] = {}
