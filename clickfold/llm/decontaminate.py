@@ -94,7 +94,7 @@ def _windows_of(items: DataFrame, lengths: list[int]) -> DataFrame:
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(id, n_words, n_hit, n_items, items_sha256, contaminated) of every row of ``docs``."""
+    """(id, n_words, n_hit, n_items, items_sha256, contaminated, text_hash) of every row of ``docs``."""
     items = items.select(F.col(item_col).alias("item_id"), words(F.col(item_text)).alias("words"))
     items = items.where(F.col("item_id").isNotNull() & (F.size("words") > 0))
     lengths = sorted(r[0] for r in items.select(F.least(F.size("words"), F.lit(WINDOW))).distinct().collect())
@@ -131,7 +131,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     ids = F.coalesce(F.array_join(F.array_sort("items"), ","), F.lit(""))
     return every.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"),
                         F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("long").alias("n_items"),
-                        F.sha2(ids, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+                        F.sha2(ids, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+                        F.col("print").alias("text_hash"))
 
 
 def _hits(suspects: DataFrame, windows: DataFrame, n: int) -> DataFrame:

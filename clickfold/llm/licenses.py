@@ -15,6 +15,8 @@ judged one by one without a shuffle, so repeated rows agree and NULL ids do no h
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,13 +79,14 @@ def _resolved(spans: Column) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score) of every row."""
     table = rules()
-    gates = sorted({g for _, gate, _ in table for g in gate})
-    signatures = F.array(*(F.struct(F.lit(i).alias("rule"), F.lit(label).alias("label"), F.lit(pattern).alias("pattern"),
-                                    F.array(*map(F.lit, gate)).alias("gate"))
-                           for i, (label, gate, pattern) in enumerate(table)))
+    gates = F.from_json(F.lit(json.dumps(sorted({g for _, gate, _ in table for g in gate}))), "array<string>")
+    # One literal for the whole table: a column object for each rule would take seconds to build.
+    signatures = F.from_json(F.lit(json.dumps([{"rule": i, "label": label, "pattern": pattern, "gate": gate}
+                                               for i, (label, gate, pattern) in enumerate(table)])),
+                             "array<struct<rule:int,label:string,pattern:string,gate:array<string>>>")
     df = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("words"))
     df = df.withColumn("canon", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")))
-    df = df.withColumn("gates", F.array_intersect("words", F.array(*map(F.lit, gates))))
+    df = df.withColumn("gates", F.array_intersect("words", gates))
     df = df.withColumn("places", F.flatten(F.array(*(_labelled_places(*base) for base in BASE))))
     df = df.withColumn("detected", F.when(F.size("gates") > 0, F.flatten(F.transform(
         F.filter(signatures, lambda r: F.arrays_overlap(r["gate"], F.col("gates"))), _spans))))

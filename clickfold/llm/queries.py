@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickfold.llm import ann, bpe, decontaminate, htmltext, langid, licenses, maxent, simhash, suffixes
+from clickfold.llm import ann, bpe, decontaminate, htmltext, langid, licenses, lines, maxent, simhash, suffixes
 from clickfold.llm.common import crc_share, table
 
 
@@ -21,7 +21,8 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    rows = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "fingerprint", "component_id")
 
 
 def op3_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,9 +36,16 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that repeat, exactly or nearly, an earlier one."""
+    rows = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in a window of a benchmark item."""
-    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    rows = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.drop("text_hash")
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +72,52 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash, op3_cross_polytope, op4_suffix_dedup, op6_decontaminate,
-                                     op7_byte_bpe, op8_html_text, op9_maxent, op10_licenses)}
-
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (
+    op1_language_id, op2_simhash, op3_cross_polytope, op4_suffix_dedup, op5_fuzzy_lines,
+    op6_decontaminate, op7_byte_bpe, op8_html_text, op9_maxent, op10_licenses)}
+
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+#: Every window of every text, compared as it stands.
+OP6 = f"""
+WITH doc AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+item AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+item_window AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[s + 1:s + n], ' ') AS span
+  FROM (SELECT item_id, w, n, unnest(range(0, len(w) - n + 1)) AS s
+        FROM (SELECT item_id, w, least(len(w), 10) AS n FROM item WHERE len(w) > 0))),
+doc_window AS (
+  SELECT doc_id, n, s, array_to_string(w[s + 1:s + n], ' ') AS span
+  FROM (SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS s
+        FROM doc CROSS JOIN (SELECT DISTINCT n FROM item_window) WHERE len(w) >= n)),
+hit AS (SELECT doc_id, item_id, n, s FROM doc_window JOIN item_window USING (n, span)),
+word AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+         FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hit) GROUP BY doc_id),
+found AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS items FROM hit GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
+       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+#: Every 100-byte window as hexadecimal digits; the first of equals stays.
+OP4 = """
+WITH doc AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+spot AS (SELECT doc_id, s, substr(h, 2 * s + 1, 200) AS span
+         FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS s FROM doc WHERE len(h) >= 200)),
+repeat_ AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY span ORDER BY doc_id, s) AS nth FROM spot) WHERE nth > 1),
+edge AS (SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS before FROM repeat_),
+island AS (SELECT doc_id, s, sum(CASE WHEN before IS NULL OR s > before + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS g FROM edge),
+cut AS (SELECT doc_id, g, min(s) AS a, max(s) + 100 AS b FROM island GROUP BY doc_id, g),
+gap AS (SELECT doc_id, b AS x, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS y FROM cut
+        UNION ALL SELECT doc_id, 0, min(a) FROM cut GROUP BY doc_id),
+rest AS (SELECT doc_id, string_agg(substr(h, 2 * x + 1, 2 * (coalesce(y, len(h) // 2) - x)), '' ORDER BY x) AS kept
+         FROM gap JOIN doc USING (doc_id) GROUP BY doc_id),
+size_ AS (SELECT doc_id, sum(b - a) AS gone, count(*) AS spans FROM cut GROUP BY doc_id)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM doc LEFT JOIN size_ USING (doc_id) LEFT JOIN rest USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op4_suffix_dedup": OP4, "op6_decontaminate": OP6}

@@ -53,15 +53,16 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """(id, fp): every row's fingerprint as a signed 64-bit integer."""
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
+    """(id, text_hash, fp): every row's fingerprint as a signed 64-bit integer."""
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("text_hash", T.LongType()),
+                           T.StructField("fp", T.LongType())])
 
     def batches(it):
         for batch in it:
             fps = [fingerprint(t, words) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], [id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps, pa.int64())], [id_col, "text_hash", "fp"])
 
-    return docs.select(id_col, text_col).mapInArrow(batches, schema)
+    return docs.select(id_col, text_col, F.xxhash64(text_col).alias("text_hash")).mapInArrow(batches, schema)
 
 
 def _flips(free_bits: int, most: int) -> np.ndarray:
@@ -145,8 +146,8 @@ def near_pairs(distinct: DataFrame, most: int = BITS) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     words: int = WORDS, most: int = BITS) -> DataFrame:
-    """(id, fingerprint, component_id) per row: component_id is the smallest id that can be
-    reached over fingerprints with at most ``most`` differing bits."""
+    """(id, fingerprint, component_id, text_hash) per row: component_id is the smallest id that can
+    be reached over fingerprints with at most ``most`` differing bits."""
     prints = stored(fingerprints(docs, id_col, text_col, words), "fingerprints")
     distinct = prints.groupBy("fp").agg(F.min(id_col).alias("least"))
     linked = components(near_pairs(distinct, most))
@@ -155,4 +156,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lowest = reached.groupBy("component").agg(F.min("least").alias("component_id"))
     by_print = reached.join(lowest, "component").select("fp", "component_id")
     return (prints.join(by_print, "fp")
-            .select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
+            .select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash"))
