@@ -64,10 +64,11 @@ def seconds_between(start: ColumnOrName, end: ColumnOrName) -> Column:
     """``DATEDIFF(SECOND, start, end)``: the number of second *boundaries* crossed.
 
     00:00:00.9 -> 00:01:00.1 is 60, not 59. Computed as the difference of whole seconds since
-    1970 on TIMESTAMP_NTZ, so the session zone and DST play no part. Valid from 1970 on.
+    1970, rounded down, on TIMESTAMP_NTZ, so the session zone and DST play no part.
     """
     epoch = F.lit(EPOCH_NTZ).cast("timestamp_ntz")
-    return F.timestamp_diff("SECOND", epoch, _col(end)) - F.timestamp_diff("SECOND", epoch, _col(start))
+    whole = lambda t: F.timestamp_diff("SECOND", epoch, F.date_trunc("SECOND", _col(t)))
+    return whole(end) - whole(start)
 
 
 def rate(numerator: ColumnOrName, denominator: ColumnOrName) -> Column:

@@ -11,7 +11,7 @@
   ``t <= cart_time``. One shuffle, linear in rows; never a nested-loop or range join.
 
 All three scans go through :mod:`clickfold.operators.scan`, so a hot session or product is cut
-into slices rather than landing in one task.
+into grains rather than landing in one task.
 """
 
 from __future__ import annotations
@@ -23,13 +23,11 @@ from clickfold.functions.semantics import stock_status
 from clickfold.operators.scan import forward_fill, running_sum
 
 
-def cart_product_map(events_temp: DataFrame, hot_key_rows: int | None = None,
-                     rows_bound: int | None = None) -> DataFrame:
+def cart_product_map(events_temp: DataFrame) -> DataFrame:
     """``(session_id, cart_time, product_id)`` for every cart event that follows a parsed product."""
     steps = (events_temp.filter(F.col("event_type").isin("product", "cart"))
              .select("session_id", "event_type", "sequence_number", "id", "created_date_clean", "product_id_raw"))
-    filled = forward_fill(steps, ["session_id"], ["sequence_number", "id"], "product_id_raw", "product_id",
-                          hot_key_rows, rows_bound)
+    filled = forward_fill(steps, ["session_id"], ["sequence_number", "id"], "product_id_raw", "product_id")
     return (filled.filter((F.col("event_type") == "cart") & F.col("product_id").isNotNull())
             .select("session_id", F.col("created_date_clean").alias("cart_time"), "product_id"))
 
@@ -43,32 +41,31 @@ def stock_deltas(inventory_temp: DataFrame) -> DataFrame:
     return ins.unionByName(outs)
 
 
-def stock_timeline(inventory_temp: DataFrame, hot_key_rows: int | None = None,
-                   rows_bound: int | None = None) -> DataFrame:
+def stock_timeline(inventory_temp: DataFrame) -> DataFrame:
     """``(product_id, t, stock_level)``, one row per movement.
 
     Within an instant arrivals come before sales (S9); rows equal in product, t and delta are
     interchangeable, so the multiset of output rows is deterministic.
     """
     levels = running_sum(stock_deltas(inventory_temp), ["product_id"], ["t", F.desc("delta")], "delta",
-                         "stock_level", hot_key_rows, rows_bound)
+                         "stock_level")
     return levels.select("product_id", "t", "stock_level")
 
 
-def stock_check(cart_map: DataFrame, inventory_temp: DataFrame, hot_key_rows: int | None = None,
-                rows_bound: int | None = None) -> DataFrame:
+def stock_check(cart_map: DataFrame, inventory_temp: DataFrame) -> DataFrame:
     """Stock status of the product at each mapped cart, one row per cart-map row.
 
     Level > 0 at or before the cart time -> ``In stock``; 0, negative, or no history -> ``Out of stock``.
     """
     session_type = cart_map.schema["session_id"].dataType  # keeps a collation, if any
+    # Only the net level matters here, so movements of one instant are one row before the scan.
     stock = (stock_deltas(inventory_temp).filter(F.col("product_id").isNotNull())
+             .groupBy("product_id", "t").agg(F.sum("delta").alias("delta"))
              .select("product_id", "t", "delta", F.lit(0).alias("kind"),
                      F.lit(None).cast(session_type).alias("session_id"),
                      F.lit(None).cast("timestamp_ntz").alias("cart_time")))
-    carts = cart_map.select("product_id", F.col("cart_time").alias("t"), F.lit(0).alias("delta"),
+    carts = cart_map.select("product_id", F.col("cart_time").alias("t"), F.lit(0).cast("long").alias("delta"),
                             F.lit(1).alias("kind"), "session_id", "cart_time")
-    levels = running_sum(stock.unionByName(carts), ["product_id"], ["t", "kind"], "delta", "level",
-                         hot_key_rows, rows_bound)
+    levels = running_sum(stock.unionByName(carts), ["product_id"], ["t", "kind"], "delta", "level")
     return (levels.filter(F.col("kind") == 1)
             .select("session_id", "product_id", "cart_time", stock_status("level").alias("stock_status")))

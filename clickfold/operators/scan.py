@@ -1,224 +1,93 @@
-"""Keyed, ordered scans that survive a hot key.
-
-Three scans appear in the reference: a running sum (stock level, the running count behind the
-forward fill), the last non-NULL value so far (forward fill of the product behind a cart), and the
-previous row's value (gap to the previous order). A plain ``Window.partitionBy(key)`` sends every
-row of a key to one task; if one session, product or user holds a third of all rows that task
-holds a third of the data. So each scan runs in two parts:
-
-* **cold keys** (at most ``hot_key_rows`` rows): one hash shuffle on the key and a window, the
-  plan Catalyst builds for the plain SQL;
-* **hot keys** (found with a map-side-combined count per key and a bounded ``limit``, so the
-  driver sees at most ``MAX_HOT_KEYS + 1`` keys): a range shuffle on ``(key, order...)`` cuts
-  each hot key into contiguous slices of balanced size, the scan runs per (key, slice), and a
-  small carry table -- one row per (hot key, slice), so bounded by ``#hot keys + #slices`` --
-  stitches the slices back together exactly (sum of earlier slices, last non-NULL of earlier
-  slices, or the last row of the previous slice). With more heavy keys than ``MAX_HOT_KEYS``
-  every key takes the sliced path; nothing is capped or dropped.
-
-The hot-key check is one small eager job per scan; with no heavy key the plan is exactly the
-single-shuffle window.
-
-Slice numbers come from ``spark_partition_id()`` after the range exchange. The per-slice scan is
-checkpointed (reliably, into ``spark.checkpoint.dir``) before the carry table is derived from it:
-two evaluations of a range exchange may sample different bounds, so both consumers must read one
-written copy. Only rows of hot keys take this path.
-
-``order`` must be a total order within a key (add a tie-breaker column) for the lag and fill
-scans to be deterministic; for a sum, rows tied on every order column must be interchangeable.
+"""Ordered scans per key -- running sum, forward fill, lag -- in one lazy plan for every size.
+
+A plain window would hold a whole key in one task. Here a key is cut into grains of its leading order
+column (an hour or day of a time, a stretch of sequence numbers), and the scan has two levels:
+
+1. each (key, grain) is reduced to what the next grains need from it -- a sum, its last value, its
+   last non-NULL value -- combined map-side; a window over a key's grains turns that into the
+   carry with which each grain starts;
+2. the carry joins its grain as a first row, and the window runs within (key, grain).
+
+So a key that holds a third of all rows is spread over its grains, nothing is sampled, counted or
+collected, building the query runs no job, and no join is needed. The cost for small keys is one
+aggregate row per (key, grain). Rows of one grain of one key do meet in a task: choose the grain so
+that the densest one fits (rows that tie on the leading column cannot be told apart by order alone).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from clickfold.session import checkpoint_dir
-
-HOT_KEY_ROWS_CONF = "clickfold.scan.hotKeyRows"
-SLICES_CONF = "clickfold.scan.slices"
-DEFAULT_HOT_KEY_ROWS = 4_000_000
-# Heavy keys listed individually; beyond this many, every key is sliced.
-MAX_HOT_KEYS = 10_000
+from pyspark.sql import types as T
 
 SUM, FILL, LAG = "sum", "fill", "lag"
 
-_V = "__scan_value"
-_S = "__scan_slice"
-_RN = "__scan_rn"
-_C = "__scan_carry"
-_T = "__scan_tail"
+#: Sequence numbers of one grain.
+STRETCH = 4096
 
+_V, _G, _FIRST = "__scan_value", "__scan_grain", "__scan_first"
 
-def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence, value, out: str,
-                hot_key_rows: int | None = None, rows_bound: int | None = None) -> DataFrame:
+
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence, value, out: str, unit: str = "HOUR") -> DataFrame:
     """``SUM(value) OVER (PARTITION BY keys ORDER BY order ROWS UNBOUNDED PRECEDING)``."""
-    return keyed_scan(df, keys, order, value, out, SUM, hot_key_rows, rows_bound)
+    return keyed_scan(df, keys, order, value, out, SUM, unit)
 
 
-def forward_fill(df: DataFrame, keys: Sequence[str], order: Sequence, value, out: str,
-                 hot_key_rows: int | None = None, rows_bound: int | None = None) -> DataFrame:
+def forward_fill(df: DataFrame, keys: Sequence[str], order: Sequence, value, out: str, unit: str = "HOUR") -> DataFrame:
     """Last non-NULL ``value`` at or before each row, per key, in ``order``."""
-    return keyed_scan(df, keys, order, value, out, FILL, hot_key_rows, rows_bound)
+    return keyed_scan(df, keys, order, value, out, FILL, unit)
 
 
-def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence, value, out: str,
-                   hot_key_rows: int | None = None, rows_bound: int | None = None) -> DataFrame:
+def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence, value, out: str, unit: str = "DAY") -> DataFrame:
     """``LAG(value) OVER (PARTITION BY keys ORDER BY order)``."""
-    return keyed_scan(df, keys, order, value, out, LAG, hot_key_rows, rows_bound)
+    return keyed_scan(df, keys, order, value, out, LAG, unit)
 
 
 def _as_col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _resolve_threshold(df: DataFrame, hot_key_rows: int | None) -> int:
-    if hot_key_rows is not None:
-        return int(hot_key_rows)
-    return int(df.sparkSession.conf.get(HOT_KEY_ROWS_CONF, str(DEFAULT_HOT_KEY_ROWS)))
-
-
-def _resolve_slices(df: DataFrame) -> int:
-    spark = df.sparkSession
-    default = spark.conf.get("spark.sql.shuffle.partitions", "200")
-    return int(spark.conf.get(SLICES_CONF, default))
-
-
-def _null_safe_on(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:
-    return reduce(lambda a, b: a & b, [left[lk].eqNullSafe(right[rk]) for lk, rk in pairs])
-
-
-def _window_scan(df: DataFrame, part: Sequence[str], order: Sequence[Column], out: str, kind: str,
-                 with_row_number: bool = False) -> DataFrame:
-    w = Window.partitionBy(*part).orderBy(*order)
-    frame = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    if kind == SUM:
-        expr = F.sum(_V).over(frame)
-    elif kind == FILL:
-        expr = F.last(_V, ignorenulls=True).over(frame)
-    elif kind == LAG:
-        expr = F.lag(_V).over(w)
-    else:
-        raise ValueError(f"unknown scan kind {kind!r}")
-    cols = {out: expr}
-    if with_row_number:
-        cols[_RN] = F.row_number().over(w)
-    return df.withColumns(cols)
-
-
-# Expected sampled rows of a key holding exactly the threshold; it is flagged at half of that.
-HOT_KEY_SAMPLE_ROWS = 2000
-
-
-def hot_keys(df: DataFrame, keys: Sequence[str], threshold: int, limit: int) -> list[tuple]:
-    """Keys holding about ``threshold`` rows or more, at most ``limit + 1`` of them, with their
-    estimated row counts. Each tuple is ``(*key, rows)``.
-
-    The count per key runs on a Bernoulli sample of ``HOT_KEY_SAMPLE_ROWS / threshold`` of the
-    rows (all rows for small thresholds), combined map-side, then filtered and bounded by
-    ``limit``: the shuffle carries a sliver of the key column and the driver receives at most
-    ``limit + 1`` small rows. Sampling only affects speed, never results: a key missed goes
-    through the exact window as one larger task, a key flagged needlessly through the exact
-    sliced path. A key with twice the threshold is missed with negligible probability.
-    """
-    fraction = min(1.0, HOT_KEY_SAMPLE_ROWS / max(threshold, 1))
-    source = df if fraction >= 1.0 else df.sample(withReplacement=False, fraction=fraction, seed=17)
-    cutoff = threshold if fraction >= 1.0 else HOT_KEY_SAMPLE_ROWS // 2
-    counts = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("__hot_n"))
-    rows = counts.filter(F.col("__hot_n") > F.lit(cutoff)).limit(limit + 1).collect()
-    return [(*tuple(r)[:-1], int(r["__hot_n"] / fraction)) for r in rows]
-
-
-def _slices_for(df: DataFrame, rows: int, threshold: int) -> int:
-    """Enough range slices that one holds about ``threshold`` rows, never fewer than the
-    session's shuffle partitions: a third of 100 TB in one key still gets task-sized slices."""
-    return max(_resolve_slices(df), -(-rows // max(threshold, 1)))
-
-
-def _key_match(keys: Sequence[str], hot: list[tuple]) -> Column:
-    """Row predicate: the row's key is one of ``hot`` (NULL keys included, as windows group them)."""
-    if len(keys) == 1:
-        values = [h[0] for h in hot if h[0] is not None]
-        cond = F.col(keys[0]).isin(values) if values else F.lit(False)
-        if any(h[0] is None for h in hot):
-            cond = cond | F.col(keys[0]).isNull()
-        return F.coalesce(cond, F.lit(False))
-    per_key = [reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.lit(v)) for k, v in zip(keys, h, strict=True)])
-               for h in hot]
-    return reduce(lambda a, b: a | b, per_key)
+def grain(df: DataFrame, column: str, unit: str, stretch: int) -> Column:
+    """A value that never falls as ``column`` rises: its hour or day, or its stretch of numbers."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return F.date_trunc(unit, F.col(column))
+    if isinstance(kind, T.IntegralType):
+        return F.floor(F.col(column) / F.lit(stretch))
+    raise TypeError(f"cannot cut {column} ({kind.simpleString()}) into grains")
 
 
 def keyed_scan(df: DataFrame, keys: Sequence[str], order: Sequence, value, out: str, kind: str,
-               hot_key_rows: int | None = None, rows_bound: int | None = None) -> DataFrame:
-    """Dispatch between the plain window and the sliced path (module docstring).
-
-    ``rows_bound``, when given, must be an upper bound on the rows of ``df`` (e.g. from the row
-    counts of the files it derives from): no key can hold more rows than that, so when it is at
-    most the threshold the hot-key check is skipped.
-    """
-    keys = list(keys)
-    order = [_as_col(o) for o in order]
-    data = df.withColumn(_V, _as_col(value))
-    threshold = _resolve_threshold(df, hot_key_rows)
-    if threshold <= 0 or (rows_bound is not None and rows_bound <= threshold):
-        return _window_scan(data, keys, order, out, kind).drop(_V)
-
-    hot = hot_keys(data, keys, threshold, MAX_HOT_KEYS)
-    if not hot:
-        # The common case: every key fits a task; one hash shuffle and a window.
-        return _window_scan(data, keys, order, out, kind).drop(_V)
-    if len(hot) > MAX_HOT_KEYS:
-        # Too many heavy keys to list: slice everything. Exact, one more shuffle.
-        total = rows_bound if rows_bound is not None else data.count()
-        return _sliced_scan(data, keys, order, out, kind, _slices_for(df, total, threshold)).drop(_V)
-    hot_rows = sum(h[-1] for h in hot)
-    is_hot = _key_match(keys, [h[:-1] for h in hot])
-    cold_out = _window_scan(data.filter(~is_hot), keys, order, out, kind)
-    hot_out = _sliced_scan(data.filter(is_hot), keys, order, out, kind, _slices_for(df, hot_rows, threshold))
-    return cold_out.unionByName(hot_out).drop(_V)
-
-
-def _sliced_scan(df: DataFrame, keys: list[str], order: list[Column], out: str, kind: str,
-                 n_slices: int) -> DataFrame:
-    checkpoint_dir(df.sparkSession)  # the cluster's shared folder; a private one only in local mode
-    ranged = (df.repartitionByRange(n_slices, *[F.col(k) for k in keys], *order)
-              .withColumn(_S, F.spark_partition_id()))
-    part = [*keys, _S]
-    # Written once to the shared checkpoint folder: the carry table and the stitched result both
-    # read this copy, so every row keeps the slice number it was scanned with (a second
-    # evaluation could sample other range bounds), and a lost executor never re-slices.
-    local = _window_scan(ranged, part, order, out, kind, with_row_number=True).checkpoint(eager=True)
-
-    if kind == SUM:
-        tails = local.groupBy(*part).agg(F.sum(_V).alias(_T))
-        carry_expr = F.sum(_T).over(Window.partitionBy(*keys).orderBy(_S)
-                                    .rowsBetween(Window.unboundedPreceding, -1))
-    elif kind == FILL:
-        tails = local.groupBy(*part).agg(F.max_by(F.col(out), F.col(_RN)).alias(_T))
-        carry_expr = F.last(_T, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(_S)
-                                                      .rowsBetween(Window.unboundedPreceding, -1))
-    else:  # LAG: the previous row of a slice's first row is the last row of the slice before
-        tails = local.groupBy(*part).agg(F.max_by(F.col(_V), F.col(_RN)).alias(_T))
-        carry_expr = F.lag(_T).over(Window.partitionBy(*keys).orderBy(_S))
-
-    carry_names = [f"__carry_k{i}" for i in range(len(keys))]
-    carry = tails.select(*[F.col(k).alias(c) for k, c in zip(keys, carry_names, strict=True)],
-                         F.col(_S).alias("__carry_s"), carry_expr.alias(_C))
-    # One row per (hot key, slice): bounded by #hot keys + #slices.
-    carry_b = F.broadcast(carry)
-    on = _null_safe_on(local, carry_b, [*zip(keys, carry_names, strict=True), (_S, "__carry_s")])
-    joined = local.join(carry_b, on, "left")
+               unit: str = "HOUR", stretch: int = STRETCH) -> DataFrame:
+    """``df`` with the scan's result as ``out``. ``order`` starts with a column name (ascending); for
+    fill and lag all of it must be columns in ascending order."""
+    if kind not in (SUM, FILL, LAG):
+        raise ValueError(f"unknown scan kind {kind!r}")
+    keys, columns = list(keys), df.columns
+    data = df.withColumns({_V: _as_col(value), _G: grain(df, order[0], unit, stretch)})
 
+    place = F.struct(*(_as_col(o) for o in order)) if kind != SUM else None
     if kind == SUM:
-        # NULL only while no non-NULL value has been seen in this or any earlier slice.
-        fixed = F.when(F.col(out).isNull() & F.col(_C).isNull(), F.lit(None)).otherwise(
-            F.coalesce(F.col(out), F.lit(0)) + F.coalesce(F.col(_C), F.lit(0)))
+        last = F.sum(_V)
     elif kind == FILL:
-        fixed = F.coalesce(F.col(out), F.col(_C))
+        last = F.max_by(_V, F.when(F.col(_V).isNotNull(), place))
     else:
-        fixed = F.when(F.col(_RN) == 1, F.col(_C)).otherwise(F.col(out))
-    return (joined.withColumn(out, fixed)
-            .drop(_S, _RN, _C, "__carry_s", *carry_names))
+        last = F.max_by(_V, place)
+    ends = data.groupBy(*keys, _G).agg(last.alias(_V))
+    grains = Window.partitionBy(*keys).orderBy(_G)
+    before = grains.rowsBetween(Window.unboundedPreceding, -1)
+    carry = {SUM: lambda: F.sum(_V).over(before),
+             FILL: lambda: F.last(_V, ignorenulls=True).over(before),
+             LAG: lambda: F.lag(_V).over(grains)}[kind]()
+    starts = (ends.withColumns({_V: carry, _FIRST: F.row_number().over(grains)})
+              .where(F.col(_FIRST) > 1).withColumn(_FIRST, F.lit(0)))
+
+    rows = data.withColumn(_FIRST, F.lit(1)).unionByName(starts, allowMissingColumns=True)
+    within = Window.partitionBy(*keys, _G).orderBy(_FIRST, *(_as_col(o) for o in order))
+    so_far = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    result = {SUM: lambda: F.sum(_V).over(so_far),
+              FILL: lambda: F.last(_V, ignorenulls=True).over(so_far),
+              LAG: lambda: F.lag(_V).over(within)}[kind]()
+    return rows.withColumn(out, result).where(F.col(_FIRST) == 1).select(*(c for c in columns if c != out), out)

@@ -36,8 +36,7 @@ VIEWS: dict[str, Query] = {
                                                              require_source=True),
     "vw_revenue_trend_by_traffic": lambda ws: tr.revenue_trend_by_source(ws.orders_temp, ws.order_items_temp,
                                                                          ws.users_temp, require_source=True),
-    "vw_repeat_rate": lambda ws: rt.repeat_rate(ws.orders_temp, ws.users_temp, ws.hot_key_rows, ordered=False,
-                                                rows_bound=ws.rows_bound("orders")),
+    "vw_repeat_rate": lambda ws: rt.repeat_rate(ws.orders_temp, ws.users_temp, ordered=False),
     "vw_funnel_overview": lambda ws: fn.funnel_overall(ws.events_temp, with_total=True),
     "vw_funnel_by_traffic": lambda ws: fn.funnel(ws.events_temp, "traffic_source", ordered=False),
     "vw_funnel_by_browser": lambda ws: fn.funnel(ws.events_temp, "browser", ordered=False),
@@ -71,12 +70,9 @@ QUERIES: dict[str, Query] = {
     "revenue_trend_by_source": lambda ws: tr.revenue_trend_by_source(ws.orders_temp, ws.order_items_temp,
                                                                      ws.users_temp),
     "sessions_trend_by_source": lambda ws: tr.sessions_trend_by_source(ws.events_temp),
-    "order_gap_buckets": lambda ws: rt.order_gap_buckets(ws.orders_temp, ws.hot_key_rows,
-                                                         rows_bound=ws.rows_bound("orders")),
-    "event_gap_buckets": lambda ws: rt.event_gap_buckets(ws.events_temp, ws.hot_key_rows,
-                                                         rows_bound=ws.rows_bound("events")),
-    "repeat_rate": lambda ws: rt.repeat_rate(ws.orders_temp, ws.users_temp, ws.hot_key_rows,
-                                             rows_bound=ws.rows_bound("orders")),
+    "order_gap_buckets": lambda ws: rt.order_gap_buckets(ws.orders_temp),
+    "event_gap_buckets": lambda ws: rt.event_gap_buckets(ws.events_temp),
+    "repeat_rate": lambda ws: rt.repeat_rate(ws.orders_temp, ws.users_temp),
     "funnel_by_source": lambda ws: fn.funnel(ws.events_temp, "traffic_source"),
     "funnel_by_browser": lambda ws: fn.funnel(ws.events_temp, "browser", order_by="product_view_sessions"),
     "funnel_overall": lambda ws: fn.funnel_overall(ws.events_temp),

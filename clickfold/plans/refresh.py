@@ -11,8 +11,8 @@ same in one session:
 3. compute each ``vw_*`` from the written tables and write it as Parquet under ``out_dir``
    (small aggregates; ``coalesce(1)`` keeps one file each), and register it as a temp view.
 
-Usage: ``spark-submit -m clickfold.plans.refresh <raw_dir> <out_dir> [format]``
-(or ``python -m clickfold.plans.refresh`` with a local session).
+Usage: ``spark-submit --py-files clickfold.zip tools/refresh.py <raw_dir> <out_dir> [format] [key=value ...]``;
+``key=value`` are reader options. Master, memory and partition counts are the cluster's: the job sets none.
 """
 
 from __future__ import annotations
@@ -24,14 +24,16 @@ from pyspark.sql import SparkSession
 
 from clickfold.plans.catalog import VIEWS
 from clickfold.plans.workspace import Workspace
+from clickfold.session import BASE_CONF
 from clickfold.sources.raw import read_raw
 
 
 def refresh(spark: SparkSession, raw_dir: str, out_dir: str, fmt: str = "parquet",
             options: dict | None = None, buckets: int | None = None) -> dict[str, str]:
     """``buckets``: bucket count of the materialised tables. Aim for bucket files of a few hundred
-    MB of the largest table (events); the default is the session's shuffle partitions."""
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    MB of the largest table (events); the default follows the session's shuffle partitions, below
+    Spark's limit of buckets."""
+    buckets = buckets or bucket_count(spark)
     ws = Workspace(read_raw(spark, raw_dir, fmt, options)).materialize(buckets=buckets)
     written = {}
     for name, query in VIEWS.items():
@@ -43,14 +45,22 @@ def refresh(spark: SparkSession, raw_dir: str, out_dir: str, fmt: str = "parquet
     return written
 
 
+def bucket_count(spark: SparkSession) -> int:
+    """The session's shuffle partitions, at most half of what Spark allows (``spark.sql.sources.bucketing.maxBuckets``)."""
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
+    return max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), most // 2))
+
+
 def main(argv: list[str]) -> int:
-    from clickfold.session import build_session
     if len(argv) < 3:
         print(__doc__, file=sys.stderr)
         return 2
-    spark = build_session(os.environ.get("SPARK_MASTER", "local[*]"))
-    fmt = argv[3] if len(argv) > 3 else "parquet"
-    for name, path in refresh(spark, argv[1], argv[2], fmt).items():
+    plain = [a for a in argv[3:] if "=" not in a]
+    options = dict(a.split("=", 1) for a in argv[3:] if "=" in a)
+    spark = SparkSession.builder.appName("clickfold-refresh").getOrCreate()
+    for key in ("spark.sql.session.timeZone", "spark.sql.ansi.enabled"):  # what results depend on
+        spark.conf.set(key, BASE_CONF[key])
+    for name, path in refresh(spark, argv[1], argv[2], plain[0] if plain else "parquet", options).items():
         print(name, path)
     return 0
 

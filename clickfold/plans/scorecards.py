@@ -25,8 +25,7 @@ def overall_aov(ws: Workspace) -> DataFrame:
 
 def overall_repeat_rate(ws: Workspace) -> DataFrame:
     """D3: repeat buyers / buyers over V4."""
-    v4 = retention.repeat_rate(ws.orders_temp, ws.users_temp, ws.hot_key_rows, ordered=False,
-                               rows_bound=ws.rows_bound("orders"))
+    v4 = retention.repeat_rate(ws.orders_temp, ws.users_temp, ordered=False)
     return v4.agg(rate(F.sum("repeat_buyers"), F.sum("total_buyers")).alias("overall_repeat_rate"))
 
 
@@ -44,8 +43,7 @@ def traffic_mix(ws: Workspace) -> DataFrame:
 def channel_scorecard(ws: Workspace) -> DataFrame:
     """Acquisition channel scorecard, V2 left-joined to V4 on source."""
     v2 = traffic.revenue_by_source(ws.orders_temp, ws.order_items_temp, ws.users_temp, require_source=True)
-    v4 = (retention.repeat_rate(ws.orders_temp, ws.users_temp, ws.hot_key_rows, ordered=False,
-                                rows_bound=ws.rows_bound("orders"))
+    v4 = (retention.repeat_rate(ws.orders_temp, ws.users_temp, ordered=False)
           .select("traffic_source", "repeat_buyers", "repeat_rate"))
     return v2.join(v4, "traffic_source", "left").select(
         "traffic_source", "total_orders", "total_buyers", "total_revenue", "aov", "repeat_buyers", "repeat_rate")

@@ -43,40 +43,16 @@ LAYOUT = {
 
 
 class Workspace:
-    def __init__(self, raw: RawTables | LazyRawTables | None = None, *, hot_key_rows: int | None = None,
-                 tables: dict[str, DataFrame] | None = None, counts: dict[str, int] | None = None,
-                 collation: str | None = None):
+    def __init__(self, raw: RawTables | LazyRawTables | None = None, *,
+                 tables: dict[str, DataFrame] | None = None, collation: str | None = None):
         """``collation``: ``None`` compares text byte-wise (the default decision of SURVEY S5);
         :data:`clickfold.functions.semantics.TSQL_COLLATION` reproduces SQL Server's case- and
         trailing-blank-insensitive comparisons for every raw string column."""
         self.raw = raw
-        self.hot_key_rows = hot_key_rows
         self.collation = collation
-        self._counts = counts if counts is not None else {}
         for name, df in (tables or {}).items():
             self.__dict__[name] = df  # pre-seeds the cached properties
 
-    # Stage whose row count equals that of each raw table (staging keeps every row).
-    _STAGE_OF = {"events": "events_temp", "inventory_events": "inventory_events_temp", "orders": "orders_temp"}
-
-    def rows_bound(self, *tables: str, factor: dict[str, int] | None = None) -> int | None:
-        """Upper bound on the rows a keyed scan over these tables can see: their row counts.
-
-        A Parquet or ORC ``count()`` reads footers only; counts are cached per workspace. The keyed
-        scans skip their hot-key check when the bound cannot exceed the hot-key threshold. For
-        text landing folders (CSV, JSON) a count would read everything, so there is no bound and
-        the (sampled) hot-key check runs instead.
-        """
-        if self.raw is not None and not getattr(self.raw, "count_is_cheap", True):
-            return None
-        total = 0
-        for name in tables:
-            if name not in self._counts:
-                source = getattr(self.raw, name) if self.raw is not None else getattr(self, self._STAGE_OF[name])
-                self._counts[name] = source.count()
-            total += self._counts[name] * (factor or {}).get(name, 1)
-        return total
-
     @classmethod
     def from_testdata(cls, spark: SparkSession, sf_dir: str, **kw) -> Workspace:
         from clickfold.sources.testdata import raw_tables
@@ -113,19 +89,15 @@ class Workspace:
     # -- derived (analysis) -----------------------------------------------------------------
     @cached_property
     def cart_product_map(self) -> DataFrame:
-        return inventory.cart_product_map(self.events_temp, self.hot_key_rows, self.rows_bound("events"))
+        return inventory.cart_product_map(self.events_temp)
 
     @cached_property
     def stock_timeline(self) -> DataFrame:
-        # two movements (in, sold) per inventory row
-        return inventory.stock_timeline(self.inventory_events_temp, self.hot_key_rows,
-                                        self.rows_bound("inventory_events", factor={"inventory_events": 2}))
+        return inventory.stock_timeline(self.inventory_events_temp)
 
     @cached_property
     def stock_check(self) -> DataFrame:
-        # two movements per inventory row, at most one cart per event
-        bound = self.rows_bound("inventory_events", "events", factor={"inventory_events": 2})
-        return inventory.stock_check(self.cart_product_map, self.inventory_events_temp, self.hot_key_rows, bound)
+        return inventory.stock_check(self.cart_product_map, self.inventory_events_temp)
 
     @cached_property
     def cart_facts(self) -> DataFrame:
@@ -151,9 +123,7 @@ class Workspace:
             tables[name] = df.filter(predicates.pop(name)) if name in predicates else df
         if predicates:
             raise KeyError(f"slicers only apply to staged tables {STAGED}, got {sorted(predicates)}")
-        # Row bounds of the unrestricted tables still bound the restricted ones.
-        return Workspace(self.raw, hot_key_rows=self.hot_key_rows, tables=tables, counts=self._counts,
-                         collation=self.collation)
+        return Workspace(self.raw, tables=tables, collation=self.collation)
 
     # -- materialisation --------------------------------------------------------------------
     def materialize(self, root: str | None = None, names: tuple[str, ...] = STAGED + DERIVED,
@@ -176,8 +146,7 @@ class Workspace:
         # is derived from the files written before it (names are in dependency order), so each
         # stage of the chain runs exactly once.
         seeded = {n: self.__dict__[n] for n in STAGED + DERIVED + ("cart_facts",) if n in self.__dict__}
-        ws = Workspace(self.raw, hot_key_rows=self.hot_key_rows, tables=seeded, counts=self._counts,
-                       collation=self.collation)
+        ws = Workspace(self.raw, tables=seeded, collation=self.collation)
         for name in names:
             df = getattr(ws, name)
             cluster, sort = LAYOUT[name]

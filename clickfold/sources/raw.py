@@ -13,6 +13,8 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from clickfold.sources.schemas import RAW_SCHEMAS
 
@@ -30,14 +32,12 @@ class RawTables:
 class LazyRawTables:
     """The six raw tables, each built on first access (a query touching one table lists one folder)."""
 
-    def __init__(self, loaders: dict[str, Callable[[], DataFrame]], count_is_cheap: bool = True):
-        """``count_is_cheap``: row counts come from file footers (Parquet, ORC), not a full read."""
+    def __init__(self, loaders: dict[str, Callable[[], DataFrame]]):
         missing = set(RAW_SCHEMAS) - set(loaders)
         if missing:
             raise ValueError(f"no loader for {sorted(missing)}")
         self._loaders = loaders
         self._frames: dict[str, DataFrame] = {}
-        self.count_is_cheap = count_is_cheap
 
     def __getattr__(self, name: str) -> DataFrame:
         loaders = self.__dict__.get("_loaders", {})
@@ -51,13 +51,30 @@ class LazyRawTables:
 def read_raw(spark: SparkSession, root: str, fmt: str = "parquet", options: dict | None = None) -> LazyRawTables:
     """Read ``<root>/<table>`` for every raw table with its explicit schema.
 
-    ``fmt`` is any Spark batch format (``parquet``, ``csv``, ``json``, ``orc``); for CSV pass
-    ``options={"header": "true"}`` as needed. Columns missing from a file come back NULL, extra
-    columns are ignored (the schema is applied by name).
+    ``fmt`` is any Spark batch format (``parquet``, ``csv``, ``json``, ``orc``). Columns go by name in
+    all of them: missing ones come back NULL, further ones stay as they are, their order is free. CSV
+    files are taken to have a header line; with ``options={"header": "false"}`` there are no names and
+    the files must hold the schema's columns in its order.
     """
+    options = {k.lower(): v for k, v in (options or {}).items()}
+
     def loader(name: str) -> Callable[[], DataFrame]:
-        reader = spark.read.format(fmt).schema(RAW_SCHEMAS[name]).options(**(options or {}))
-        return lambda: reader.load(os.path.join(root, name))
+        path, schema = os.path.join(root, name), RAW_SCHEMAS[name]
+        if fmt.lower() != "csv":
+            return lambda: by_name(spark.read.format(fmt).options(**options).load(path), schema)
+        if str(options.get("header", "true")).lower() != "true":
+            return lambda: spark.read.format(fmt).schema(schema).options(**options).load(path)
+        # The header gives the names and everything is read as text, then cast to the schema.
+        return lambda: by_name(spark.read.format(fmt).options(**{**options, "header": "true", "inferschema": "false"})
+                               .load(path), schema)
+
+    return LazyRawTables({name: loader(name) for name in RAW_SCHEMAS})
+
 
-    return LazyRawTables({name: loader(name) for name in RAW_SCHEMAS},
-                         count_is_cheap=fmt.lower() in ("parquet", "orc"))
+def by_name(df: DataFrame, schema: StructType) -> DataFrame:
+    """The schema's columns, matched by name without regard to case, then all other columns of ``df``."""
+    have = {c.lower(): c for c in df.columns}
+    known = [(F.col(f"`{have[f.name.lower()]}`").try_cast(f.dataType) if f.name.lower() in have
+              else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields]
+    names = {f.name.lower() for f in schema.fields}
+    return df.select(*known, *(F.col(f"`{c}`") for c in df.columns if c.lower() not in names))

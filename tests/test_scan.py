@@ -1,4 +1,4 @@
-"""The skew-safe keyed scans equal a plain window, whatever the key distribution."""
+"""The two-level keyed scans equal a plain window, whatever the key distribution, and build lazily."""
 
 from __future__ import annotations
 
@@ -6,113 +6,100 @@ import random
 
 import pytest
 from conftest import rows
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from clickfold.operators import scan
 
 
+def plain(df, order, kind):
+    """The window that the scan stands for."""
+    w = Window.partitionBy("k").orderBy(*order)
+    frame = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.withColumn("out", {scan.SUM: F.sum("v").over(frame), scan.FILL: F.last("v", ignorenulls=True).over(frame),
+                                 scan.LAG: F.lag("v").over(w)}[kind])
+
+
 @pytest.fixture(scope="module")
 def skewed(spark):
     rnd = random.Random(7)
     data = []
-    for i in range(3000):
-        # one hot key with ~60% of rows, a NULL key, and a tail of small keys
+    for i in range(3000):  # one key with most rows, a NULL key, a tail of small keys, ties on t
         r = rnd.random()
         key = "hot" if r < 0.6 else (None if r < 0.7 else f"k{rnd.randint(0, 40)}")
-        t = rnd.randint(0, 500)  # many ties on t, broken by the unique id
-        value = None if rnd.random() < 0.5 else rnd.randint(-3, 9)
-        data.append((i, key, t, value))
+        t = None if rnd.random() < 0.02 else rnd.randint(-50, 500)
+        data.append((i, key, t, None if rnd.random() < 0.5 else rnd.randint(-3, 9)))
     return spark.createDataFrame(data, "id long, k string, t int, v int")
 
 
 @pytest.mark.parametrize("kind", [scan.SUM, scan.FILL, scan.LAG])
-def test_sliced_scan_equals_window(spark, skewed, kind):
-    order = ["t", "id"]
-    plain = scan.keyed_scan(skewed, ["k"], order, "v", "out", kind, hot_key_rows=0)
-    sliced = scan.keyed_scan(skewed, ["k"], order, "v", "out", kind, hot_key_rows=50)
-    assert rows(plain, "id", "out") == rows(sliced, "id", "out")
-    assert sliced.count() == skewed.count()
+@pytest.mark.parametrize("stretch", [1, 7, 100_000])
+def test_scan_equals_window(skewed, kind, stretch):
+    got = scan.keyed_scan(skewed, ["k"], ["t", "id"], "v", "out", kind, stretch=stretch)
+    assert got.columns == [*skewed.columns, "out"]
+    assert rows(got, "id", "out") == rows(plain(skewed, ["t", "id"], kind), "id", "out")
 
 
-@pytest.mark.parametrize("kind", [scan.SUM, scan.FILL, scan.LAG])
-def test_every_key_sliced_when_too_many_hot(spark, skewed, kind, monkeypatch):
-    monkeypatch.setattr(scan, "MAX_HOT_KEYS", 1)
-    order = ["t", "id"]
-    plain = scan.keyed_scan(skewed, ["k"], order, "v", "out", kind, hot_key_rows=0)
-    sliced = scan.keyed_scan(skewed, ["k"], order, "v", "out", kind, hot_key_rows=5)
-    assert rows(plain, "id", "out") == rows(sliced, "id", "out")
+@pytest.mark.parametrize("unit", ["HOUR", "DAY"])
+def test_times_are_cut_into_hours_or_days(skewed, unit):
+    timed = skewed.withColumn("t", F.timestamp_add("MINUTE", F.col("t") * 17, F.lit("1969-12-31 12:00:00").cast("timestamp_ntz")))
+    got = scan.keyed_scan(timed, ["k"], ["t", "id"], "v", "out", scan.LAG, unit)
+    assert rows(got, "id", "out") == rows(plain(timed, ["t", "id"], scan.LAG), "id", "out")
 
 
 def test_sum_with_descending_order_and_ties(spark):
-    data = [(i, "p", i // 10, 1 if i % 3 else -1) for i in range(400)]
-    df = spark.createDataFrame(data, "id long, k string, t int, d int")
-    plain = scan.running_sum(df, ["k"], ["t", F.desc("d")], "d", "lvl", hot_key_rows=0)
-    sliced = scan.running_sum(df, ["k"], ["t", F.desc("d")], "d", "lvl", hot_key_rows=20)
-    # rows tied on (t, d) are interchangeable: compare the multiset of (t, d, level)
-    assert rows(plain, "t", "d", "lvl") == rows(sliced, "t", "d", "lvl")
+    df = spark.createDataFrame([(i, "p", i // 10, 1 if i % 3 else -1) for i in range(400)], "id long, k string, t int, v int")
+    order = ["t", F.desc("v")]
+    got = scan.keyed_scan(df, ["k"], order, "v", "out", scan.SUM, stretch=4)
+    # Rows tied on (t, v) are interchangeable: compare the multiset.
+    assert rows(got, "t", "v", "out") == rows(plain(df, order, scan.SUM), "t", "v", "out")
 
 
-def test_hot_key_detection_is_bounded(spark, skewed):
-    hot = scan.hot_keys(skewed, ["k"], threshold=50, limit=1)
-    assert len(hot) == 2  # limit + 1 at most
-    assert all(n > 50 for *_, n in hot)
+_row = st.tuples(st.sampled_from(["a", "b", "c", None]), st.integers(0, 6), st.one_of(st.none(), st.integers(-5, 5)))
 
 
-def test_slices_grow_with_hot_rows(spark, skewed):
-    assert scan._slices_for(skewed, 10, 1000) == int(spark.conf.get("spark.sql.shuffle.partitions"))
-    assert scan._slices_for(skewed, 10 ** 12, 4 * 10 ** 6) == 250_000
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(data=st.lists(_row, min_size=1, max_size=60), stretch=st.integers(1, 8), kind=st.sampled_from([scan.SUM, scan.FILL, scan.LAG]))
+def test_property_scan_equals_window(spark, data, stretch, kind):
+    df = spark.createDataFrame([(i, k, t, v) for i, (k, t, v) in enumerate(data)], "id long, k string, t int, v int")
+    got = scan.keyed_scan(df, ["k"], ["t", "id"], "v", "out", kind, stretch=stretch)
+    assert rows(got, "id", "out") == rows(plain(df, ["t", "id"], kind), "id", "out")
 
 
-def test_workspace_results_unchanged_by_slicing(spark):
-    """The whole cart -> stock chain with every session and product forced through the slices."""
+def test_building_queries_runs_no_job(spark):
+    """Every query and view is lazy: no count, sample, checkpoint or collect while it is built."""
+    from clickfold.plans.catalog import QUERIES, register_views
     from clickfold.plans.workspace import Workspace
-    sf = "/root/testdata/sf0.001"
-    plain = Workspace.from_testdata(spark, sf, hot_key_rows=0)
-    sliced = Workspace.from_testdata(spark, sf, hot_key_rows=3)
-    assert rows(plain.stock_check) == rows(sliced.stock_check)
-    assert rows(plain.stock_timeline) == rows(sliced.stock_timeline)
-
-
-def test_sampled_detection_finds_a_dominant_key(spark):
-    """With a threshold large enough to sample, a key holding most rows is still found."""
-    df = spark.range(0, 400_000).selectExpr("CASE WHEN id % 10 < 7 THEN 'hot' ELSE CAST(id AS STRING) END AS k")
-    hot = scan.hot_keys(df, ["k"], threshold=100_000, limit=10)
-    assert [h[0] for h in hot] == ["hot"]
-    assert 200_000 < hot[0][1] < 360_000  # estimate of 280,000 rows
-
-
-from hypothesis import HealthCheck, given, settings  # noqa: E402
-from hypothesis import strategies as st  # noqa: E402
-
-_row = st.tuples(st.sampled_from(["a", "b", "c", None]), st.integers(0, 6),
-                 st.one_of(st.none(), st.integers(-5, 5)))
-
-
-@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(data=st.lists(_row, min_size=1, max_size=60), threshold=st.integers(1, 20),
-       kind=st.sampled_from([scan.SUM, scan.FILL, scan.LAG]))
-def test_property_sliced_equals_window(spark, data, threshold, kind):
-    df = spark.createDataFrame([(i, k, t, v) for i, (k, t, v) in enumerate(data)], "id long, k string, t int, v int")
-    plain = scan.keyed_scan(df, ["k"], ["t", "id"], "v", "out", kind, hot_key_rows=0)
-    sliced = scan.keyed_scan(df, ["k"], ["t", "id"], "v", "out", kind, hot_key_rows=threshold)
-    assert rows(plain, "id", "out") == rows(sliced, "id", "out")
+    from clickfold.sources.schemas import RAW_SCHEMAS
+    tracker = spark.sparkContext.statusTracker()
+    ws = Workspace.from_testdata(spark, "/root/testdata/sf0.001")
+    for name in RAW_SCHEMAS:  # opening a Parquet table reads its schema
+        getattr(ws.raw, name)
+    spark.sparkContext.setJobGroup("build", "building queries")
+    try:
+        for query in QUERIES.values():
+            query(ws)
+        register_views(ws)
+        assert list(tracker.getJobIdsForGroup("build")) == []
+    finally:
+        spark.sparkContext.setJobGroup("", "")
 
 
 def test_a_third_of_all_rows_in_one_session_and_one_product(spark):
-    """The task's skew model, derived from the test tables: one session and one product each
-    hold about a third of their tables. The sliced chain equals the plain window chain."""
-    from clickfold.plans.workspace import Workspace
+    """One session and one product each hold a third of their tables: the chain still equals plain
+    windows, and no task of the scans holds the hot key."""
+    from clickfold.operators import inventory, staging
     from clickfold.sources.testdata import raw_tables
     raw = raw_tables(spark, "/root/testdata/sf0.01")
-    events = raw.events.withColumn(
-        "session_id", F.when(F.col("id") % 3 == 0, F.lit("HOT")).otherwise(F.col("session_id")))
-    inventory = raw.inventory_events.withColumn(
-        "product_id", F.when(F.hash("created_at", "sold_at") % 3 == 0, F.lit(7)).otherwise(F.col("product_id")))
-    from clickfold.operators import staging
-    tables = {"events_temp": staging.stage_events(events),
-              "inventory_events_temp": staging.stage_inventory_events(inventory)}
-    plain = Workspace(raw, hot_key_rows=0, tables=dict(tables))
-    sliced = Workspace(raw, hot_key_rows=500, tables=dict(tables))
-    assert rows(plain.cart_product_map) == rows(sliced.cart_product_map)
-    assert rows(plain.stock_check) == rows(sliced.stock_check)
-    assert rows(plain.stock_timeline) == rows(sliced.stock_timeline)
+    events = staging.stage_events(raw.events).withColumn(
+        "session_id", F.when(F.col("id") % 3 == 0, F.lit("HOT")).otherwise(F.col("session_id"))).withColumn(
+        "sequence_number", F.when(F.col("id") % 3 == 0, F.col("id").cast("int")).otherwise(F.col("sequence_number")))
+    steps = events.filter(F.col("event_type").isin("product", "cart")).withColumnRenamed("session_id", "k").withColumn("v", F.col("product_id_raw"))
+    want = plain(steps, ["sequence_number", "id"], scan.FILL).filter((F.col("event_type") == "cart") & F.col("out").isNotNull())
+    got = inventory.cart_product_map(events)
+    assert rows(got, "session_id", "product_id") == rows(want, "k", "out")
+    deltas = inventory.stock_deltas(staging.stage_inventory_events(raw.inventory_events)).withColumn("k", F.lit(1)).withColumn("v", F.col("delta"))
+    levels = scan.running_sum(deltas.drop("v"), ["k"], ["t", F.desc("delta")], "delta", "out")
+    assert rows(levels, "t", "delta", "out") == rows(plain(deltas, ["t", F.desc("delta")], scan.SUM), "t", "delta", "out")
