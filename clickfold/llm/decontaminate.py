@@ -86,9 +86,11 @@ def _windows_of(items: DataFrame, lengths: list[int]) -> DataFrame:
     """(length, hash, span, item_id): every window of every item, with the hash it keeps."""
     parts = []
     for n in lengths:
-        own = items.where((F.size("words") == n) if n < WINDOW else (F.size("words") >= n))
-        own = kept_hashes(own, n).select("item_id", "words", F.posexplode("kept").alias("start", "hash"))
-        parts.append(own.select(F.lit(n).alias("length"), "hash", _window_text(F.col("start"), n).alias("span"), "item_id"))
+        own = kept_hashes(items, n)
+        spans = F.transform("kept", lambda h, i: F.struct(h.alias("hash"), _window_text(i, n).alias("span")))
+        if n < WINDOW:  # a short item is one window of all its words
+            spans = F.when(F.size("words") == n, spans)
+        parts.append(own.select("item_id", F.explode(spans).alias("at")).select(F.lit(n).alias("length"), "at.*", "item_id"))
     return reduce(DataFrame.union, parts).distinct()
 
 
@@ -96,7 +98,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
                   item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, n_words, n_hit, n_items, items_sha256, contaminated, text_hash) of every row of ``docs``."""
     items = items.select(F.col(item_col).alias("item_id"), words(F.col(item_text)).alias("words"))
-    items = items.where(F.col("item_id").isNotNull() & (F.size("words") > 0))
+    # Written first: a filter over computed word arrays would be carried through every later step.
+    items = stored(items.where(F.col("item_id").isNotNull() & (F.size("words") > 0)), "items")
     lengths = sorted(r[0] for r in items.select(F.least(F.size("words"), F.lit(WINDOW))).distinct().collect())
     docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("print"), F.col(text_col).alias("text"))
 
@@ -111,11 +114,12 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         hashes = windows.select("length", "hash").distinct()
         shared = reduce(DataFrame.union, [
             hashed.select("id", "print", F.explode(f"kept_{n}").alias("hash"))
-            .join(hashes.where(F.col("length") == n).select("hash"), "hash", "left_semi").select("id", "print")
-            for n in lengths]).distinct()
+            .join(hashes.where(F.col("length") == n).select("hash"), "hash", "left_semi")
+            .select("id", "print", F.struct(F.lit(n).alias("length"), "hash").alias("match"))
+            for n in lengths]).groupBy("id", "print").agg(F.collect_set("match").alias("matches"))
         suspects = (docs.alias("d").join(shared.alias("s"), F.col("d.id").eqNullSafe(F.col("s.id"))
-                                         & (F.col("d.print") == F.col("s.print")), "left_semi")
-                    .select("id", "print", words(F.col("text")).alias("words")).dropDuplicates(["id", "print"]))
+                                         & (F.col("d.print") == F.col("s.print")))
+                    .select("d.id", "d.print", words(F.col("text")).alias("words"), "matches"))
         hits = reduce(DataFrame.union, [_hits(suspects, windows, n) for n in lengths])
         found = hits.groupBy("id", "print").agg(
             F.collect_set(F.struct("start", "length")).alias("spans"),
@@ -136,9 +140,16 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 
 def _hits(suspects: DataFrame, windows: DataFrame, n: int) -> DataFrame:
-    """(id, print, start, length, item_id): windows of suspect documents that equal an item's."""
+    """(id, print, start, length, item_id): windows of suspect documents that equal an item's.
+
+    Only windows whose kept hash was shared leave the row, each with its own words and nothing else.
+    """
     own = windows.where(F.col("length") == n).select("hash", "span", "item_id")
-    here = kept_hashes(suspects, n).select("id", "print", "words", F.posexplode("kept").alias("start", "hash"))
-    near = here.join(own.select("hash").distinct(), "hash", "left_semi")
-    spans = near.select("id", "print", "start", "hash", _window_text(F.col("start"), n).alias("span"))
-    return spans.join(own, ["hash", "span"]).select("id", "print", "start", F.lit(n).alias("length"), "item_id")
+    wanted = F.transform(F.filter("matches", lambda m: m["length"] == n), lambda m: m["hash"])
+    here = kept_hashes(suspects.withColumn("wanted", wanted), n)
+    starts = F.filter(F.transform("kept", lambda h, i: F.struct(i.alias("start"), h.alias("hash"))),
+                      lambda x: F.array_contains("wanted", x["hash"]))
+    spans = F.transform(starts, lambda x: F.struct(x["start"].alias("start"), x["hash"].alias("hash"),
+                                                   _window_text(x["start"], n).alias("span")))
+    near = here.select("id", "print", F.explode(spans).alias("at")).select("id", "print", "at.*")
+    return near.join(own, ["hash", "span"]).select("id", "print", "start", F.lit(n).alias("length"), "item_id")
