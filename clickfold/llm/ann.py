@@ -175,7 +175,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
         every = one.select("dim", "bucket").distinct()  # all buckets that hold something
         asked = (short.select("query_id", F.size("embedding").alias("dim"),
                               F.col("embedding")).join(every, "dim"))
-        asked = asked.select(F.lit(0).alias("tbl"), "dim", "bucket", _binary(F.col("embedding")).alias("vec"), "query_id")
+        asked = stored(asked.select(F.lit(0).alias("tbl"), "dim", "bucket", _binary(F.col("embedding")).alias("vec"), "query_id"), "ann-asked")
         found = found.join(short.select("query_id").distinct(), "query_id", "left_anti").unionByName(_search(one, asked, k))
     return found.select("query_id", "rank", "vec_id", "score")
 
