@@ -30,10 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clickfold.llm.common import small_batches
+
 #: Encoded pieces that a worker keeps; the store is emptied when full, which only costs time.
-PIECE_STORE = 600_000
+PIECE_STORE = 200_000
 #: Decided token pairs that a worker keeps, in the same way.
-PAIR_STORE = 500_000
+PAIR_STORE = 200_000
 
 
 class Vocabulary:
@@ -232,7 +234,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             ids = [np.array(encoder.encode(t or ""), dtype=np.int32) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], [id_col, "ids"])
 
-    return docs.select(id_col, text_col).mapInArrow(batches, schema)
+    return small_batches(docs.select(id_col, text_col)).mapInArrow(batches, schema)
 
 
 def decode(tokens: DataFrame, path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
@@ -278,4 +280,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
                 arrays.append(pa.array(kept, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(batches, T.StructType(fields))
+    return small_batches(docs.select(F.col(id_col), F.col(text_col))).mapInArrow(batches, T.StructType(fields))

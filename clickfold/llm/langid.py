@@ -29,13 +29,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clickfold.llm.common import runs_of
+from clickfold.llm.common import runs_of, small_batches
 
 DIMENSIONS = 1024
 SEED = 20240
 UNDETERMINED = "und"
-#: Characters that are worked on at once, and trigrams whose vectors are in memory at once.
-CHARS_AT_ONCE, GRAMS_AT_ONCE = 1 << 20, 8192
+#: Characters that are worked on at once; trigrams and texts whose vectors and counts are in memory at once.
+CHARS_AT_ONCE, GRAMS_AT_ONCE, GROUPS_AT_ONCE = 1 << 20, 8192, 256
 
 
 @lru_cache(maxsize=1)
@@ -95,8 +95,13 @@ def bundles(texts: list[str], groups: np.ndarray, n_groups: int, dimensions: int
     for start in range(0, len(distinct), GRAMS_AT_ONCE):
         part = distinct[start:start + GRAMS_AT_ONCE]
         here = (index >= start) & (index < start + len(part))
-        counts = np.bincount(groups[of[here]] * len(part) + index[here] - start, minlength=n_groups * len(part))
-        out += counts.reshape(n_groups, len(part)).astype(np.float32) @ _bound(part, dimensions, seed)
+        group, place = groups[of[here]], index[here] - start
+        bound = _bound(part, dimensions, seed)
+        for low in range(0, n_groups, GROUPS_AT_ONCE):
+            n = min(GROUPS_AT_ONCE, n_groups - low)
+            own = (group >= low) & (group < low + n)
+            counts = np.bincount((group[own] - low) * len(part) + place[own], minlength=n * len(part))
+            out[low:low + n] += counts.reshape(n, len(part)).astype(np.float32) @ bound
     return out
 
 
@@ -129,7 +134,7 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
                                           pa.array([v for v in sums.values()], pa.list_(pa.float64()))], ["lang", "bundle"])
 
     # Added up by (language, dimension): sums of whole numbers, so their order does not matter.
-    rows = (docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = (small_batches(docs).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
             .select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
             .mapInArrow(bundle, schema)
             .select("lang", F.posexplode("bundle").alias("at", "value"))
@@ -178,4 +183,4 @@ def identify(docs: DataFrame, prototypes: dict[str, list[float]], text_col: str
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(kept)], pa.array(best, pa.string()), pa.array(score)],
                                              [f.name for f in schema.fields])
 
-    return docs.select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(predict, schema)
+    return small_batches(docs).select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(predict, schema)

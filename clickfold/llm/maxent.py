@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clickfold.llm.common import folded_bytes, mix64, range_hashes, space_words, stored
+from clickfold.llm.common import folded_bytes, mix64, range_hashes, small_batches, space_words, stored
 
 WIDE = 32  # classes, and members of a class
 BUCKETS = WIDE * WIDE
@@ -220,7 +220,7 @@ def train_round(docs: DataFrame, weights: np.ndarray, text_col: str = "text") ->
                                           *(pa.array(np.ascontiguousarray(moved[:, i])) for i in range(WIDE))],
                                          ["row", "used", *columns])
 
-    moved = (docs.select(text_col).mapInArrow(local, schema).groupBy("row")
+    moved = (small_batches(docs.select(text_col)).mapInArrow(local, schema).groupBy("row")
              .agg(F.sum("used").alias("used"), *(F.sum(c).alias(c) for c in columns)).collect())
     out = weights.copy()
     for r in moved:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clickfold.llm.common import folded_bytes, stored
+from clickfold.llm.common import folded_bytes, small_batches, stored
 from clickfold.llm.graph import components
 
 WORDS, BITS, SEED = 3, 3, 42
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = [fingerprint(t, words) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps, pa.int64())], [id_col, "text_hash", "fp"])
 
-    return docs.select(id_col, text_col, F.xxhash64(text_col).alias("text_hash")).mapInArrow(batches, schema)
+    return small_batches(docs.select(id_col, text_col, F.xxhash64(text_col).alias("text_hash"))).mapInArrow(batches, schema)
 
 
 def _flips(free_bits: int, most: int) -> np.ndarray:
