@@ -115,9 +115,12 @@ _NAMED = (
     ("no-warranty", ("warranty", "warranties"), r"without warrant(?:y|ies) (?:of any kind|or conditions)"),
     ("reserved", ("reserved",), r"all rights reserved"),
     ("copyright", ("copyright",), r"copyright (?:c )?(?:19|20)[0-9][0-9]"),
-    ("licensed", ("licensed", "licenced", "released"), r"(?:licen[cs]ed|released) under (?:the )?(?:terms of )?(?:the )?[a-z0-9 ]{1,30}licen[cs]e"),
 )
 
+#: Any other licence by name; ``{named}`` stands for what the other rules find, before which it stops.
+_OTHER = ("licensed", ("licensed", "licenced", "released"),
+          r"(?:licen[cs]ed|released) under (?:the )?(?:terms of )?(?:the )?(?:(?!(?<= )(?:{named}) )[a-z0-9 ]){1,30}licen[cs]e")
+
 #: Identifiers after "spdx license identifier", as words; the label is the identifier.
 _SPDX = ("mit", "mit 0", "isc", "0bsd", "zlib", "unlicense", "wtfpl", "ncsa", "x11", "curl", "openssl", "ruby", "vim",
          "bsd 2 clause", "bsd 3 clause", "bsd 4 clause", "apache 1 0", "apache 1 1", "apache 2 0", "cc0 1 0",
@@ -151,4 +154,8 @@ def rules() -> list[tuple[str, tuple[str, ...], str]]:
                  f"(?:cc {short}|(?:creative commons )?{long}(?: {v})? international(?: public)? licen[cs]e|creative commons {long}) (?:licen[cs]e )?{_V}{v}")
                 for v in _CC_VERSIONS]
         out.append((f"cc-{terms}", ("cc", "creative"), f"(?:cc {short}|creative commons {long})(?: licen[cs]e)?"))
-    return out + list(_NAMED)
+    out += _NAMED
+    label, gate, pattern = _OTHER
+    named = [spdx.rstrip(), *(p.replace("{v}", f"(?:{'|'.join(versions)})") for _, _, p, versions in _VERSIONED),
+             *(f"(?:cc {short}|creative commons {long})" for _, short, long in _CC_TERMS), *(p for _, _, p in _NAMED)]
+    return [*out, (label, gate, pattern.replace("{named}", "|".join(named)))]
