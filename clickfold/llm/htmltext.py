@@ -51,17 +51,21 @@ footer share sharing social related recommended newsletter subscribe signup logi
 toolbar skip hidden""".split())
 SELDOM = frozenset("header masthead banner notice notices alert widget widgets tags meta byline toc outbrain taboola rating".split())
 TEXTUAL = frozenset("article content entry post story text body main".split())
+#: What may stand in a page's head, and elements whose end tags alone reach beyond them.
+IN_HEAD = frozenset("base link meta title style script noscript template noframes".split())
+WALLS = frozenset("template object svg".split())
 PARAGRAPHS = frozenset("p pre blockquote td dd li figcaption".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "points", "size", "linked")
+    __slots__ = ("tag", "parent", "children", "points", "size", "linked", "unwanted")
 
     def __init__(self, tag: str, parent: "Node | None"):
         self.tag, self.parent, self.children = tag, parent, []
         self.points = 0.0
         self.size = self.linked = 0
+        self.unwanted = False
 
 
 def _unwanted(tag: str, raw: str, in_article: bool) -> bool:
@@ -86,35 +90,31 @@ def parse(page: str) -> Node:
     """The tree of a page without unwanted elements; text is kept as decoded strings."""
     root = at = Node("#", None)
     lower = None
-    skip_tag, skip_depth = "", 0  # inside an unwanted element: its tag and how often it is open
+    unwanted_inline = set()  # tags of unwanted elements that are no blocks
     pos, end = 0, len(page)
     articles = 0
     while pos < end:
         lt = page.find("<", pos)
         m = _TOKEN.match(page, lt) if lt >= 0 else None
+        stop = lt if m is not None else end if lt < 0 else lt + 1
+        if stop > pos:
+            text = page[pos:stop]
+            if at.tag == "head" and text.strip():
+                at = at.parent
+            at.children.append(html.unescape(text) if "&" in text else text)
         if m is None:
-            stop = end if lt < 0 else lt + 1
-            if not skip_depth:
-                at.children.append(html.unescape(page[pos:stop]))
             pos = stop
             continue
-        if lt > pos and not skip_depth:
-            text = page[pos:lt]
-            at.children.append(html.unescape(text) if "&" in text else text)
         pos = m.end()
         tag = m[2]
         if tag is None:
             continue
         tag = tag.lower()
         if m[1]:
-            if skip_depth:
-                if tag == skip_tag:
-                    skip_depth -= 1
-                continue
             node = at
             while node.parent is not None and node.tag != tag:
-                if tag not in BLOCK and node.tag in BLOCK:  # an inline end tag does not end a block
-                    node = root
+                if node.tag in WALLS or tag not in BLOCK and tag not in unwanted_inline and node.tag in BLOCK:
+                    node = root  # an inline end tag does not end a block
                     break
                 node = node.parent
             if node.parent is not None:
@@ -123,7 +123,7 @@ def parse(page: str) -> Node:
                     articles -= left.tag in ("article", "main")
                     left = left.parent
                 at = node.parent
-            elif tag == "br" and not skip_depth:
+            elif tag == "br":
                 at.children.append(" ")
             continue
         empty = tag in VOID or m[3].endswith("/") and tag not in BLOCK
@@ -133,41 +133,49 @@ def parse(page: str) -> Node:
             close = lower.find(f"</{tag}", pos)
             pos = end if close < 0 else page.find(">", close) + 1 or end
             continue
-        if skip_depth:
-            if tag == skip_tag and not empty:
-                skip_depth += 1
-            continue
+        if at.tag == "head" and tag not in IN_HEAD:
+            at = at.parent
         if tag in BLOCK:  # an open paragraph ends before a block; list items end before the next
             node = at
             while node.parent is not None and node.tag not in BLOCK:
                 node = node.parent
             if node.tag == "p" and node.parent is not None:
                 at = node.parent
-        if tag in ENDS:
+        while tag in ENDS:  # a new row ends the open cell and its row
             node = at
             while node.parent is not None and node.tag not in SCOPE - ENDS[tag] and node.tag not in ENDS[tag]:
                 node = node.parent
-            if node.tag in ENDS[tag] and node.parent is not None:
-                at = node.parent
-        if _unwanted(tag, m[3], articles > 0):
-            if not empty:
-                skip_tag, skip_depth = tag, 1
-            if tag in BLOCK:
+            if node.tag not in ENDS[tag] or node.parent is None:
+                break
+            at = node.parent
+        if empty:
+            if tag == "br":
+                at.children.append(" ")
+            elif tag == "hr":
                 at.children.append(Node("hr", at))
             continue
-        if tag == "br":
-            at.children.append(" ")
-        elif empty:
-            if tag == "hr":
-                at.children.append(Node("hr", at))
-        else:
-            node = Node(tag, at)
-            at.children.append(node)
-            at = node
-            articles += tag in ("article", "main")
+        node = Node(tag, at)
+        node.unwanted = _unwanted(tag, m[3], articles > 0)
+        if node.unwanted and tag not in BLOCK:
+            unwanted_inline.add(tag)
+        at.children.append(node)
+        at = node
+        articles += tag in ("article", "main")
+    _drop(root)
     return root
 
 
+def _drop(root: Node) -> None:
+    """Take the unwanted elements out; a block leaves a break between its neighbours."""
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        if any(isinstance(c, Node) and c.unwanted for c in node.children):
+            node.children = [Node("hr", node) if isinstance(c, Node) and c.unwanted else c for c in node.children
+                             if not (isinstance(c, Node) and c.unwanted and c.tag not in BLOCK)]
+        stack += [c for c in node.children if isinstance(c, Node)]
+
+
 def _in_order(root: Node) -> list[Node]:
     out, stack = [], [root]
     while stack:
