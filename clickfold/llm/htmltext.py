@@ -3,10 +3,12 @@
 The page becomes a tree (unclosed paragraphs and list items end where HTML says they do). Elements
 that are not article text go: scripts, styles, forms, menus, page headers and footers, sidebars,
 and what its class, id or role names as advert, notice, sharing, related links or reader comments.
+A name alone takes no article, no element around one, and no container of most of the page's points
+(on a page with an article, such a container counts only inside it).
 Every remaining paragraph earns points for its length and commas and passes them to its ancestors,
 less with each level; an element's points are discounted by the share of its text in links. The best
 element, or the article it stands in, is the container; its siblings join if they earn a fair share.
-Link lists inside the container go.
+Lists and tables of hardly anything but links inside the container go.
 
 Character references are decoded, white space inside a block becomes one blank, blocks are joined in
 page order by one newline. The whole page is read and nothing is capped.
@@ -49,6 +51,13 @@ NEVER = frozenset("""ad ads advert adverts advertisement advertising sponsor spo
 replies respond disqus sidebar sidebars nav navbar navigation menu menus breadcrumb breadcrumbs cookie cookies consent gdpr
 footer share sharing social related recommended newsletter subscribe signup login popup modal overlay pagination pager
 toolbar skip hidden""".split())
+#: Reader comments, which look like article text; names that hide or describe only as a whole; first parts of names
+#: that describe what an element has or belongs to.
+READERS = frozenset("comment comments reply replies respond disqus".split())
+WHOLE = frozenset("skip hidden".split())
+STATES = frozenset("has have with without no not is tag category cat type format status".split())
+#: Least share of an element's text in links by which a list or table counts as a list of links.
+ALL_LINKS = 0.9
 SELDOM = frozenset("header masthead banner notice notices alert widget widgets tags meta byline toc outbrain taboola rating".split())
 TEXTUAL = frozenset("article content entry post story text body main".split())
 #: What may stand in a page's head, and elements whose end tags alone reach beyond them.
@@ -59,35 +68,57 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "points", "size", "linked", "unwanted")
+    __slots__ = ("tag", "parent", "children", "points", "own", "total", "size", "linked", "unwanted", "named")
 
     def __init__(self, tag: str, parent: "Node | None"):
         self.tag, self.parent, self.children = tag, parent, []
-        self.points = 0.0
-        self.size = self.linked = 0
+        self.points = self.own = self.total = 0.0
+        self.size = self.linked = self.named = 0
         self.unwanted = False
 
 
-def _unwanted(tag: str, raw: str, in_article: bool) -> bool:
+def _unwanted(tag: str, raw: str, in_article: bool) -> tuple[bool, int]:
+    """Whether an element goes in any case, and how its names speak against it (see ``_named``)."""
     if tag in DROPPED or (tag == "header" and not in_article):
-        return True
+        return True, 0
     if not raw or tag in ("html", "body"):
-        return False
+        return False, 0
     attrs = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(raw)}
     if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true":
-        return True
+        return True, 0
     if attrs.get("role", "").lower() in ROLES:
-        return True
+        return True, 0
     if "display:none" in attrs.get("style", "").lower().replace(" ", ""):
-        return True
-    names = set(_WORD.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()))
-    if not names:
-        return False
-    return bool(names & NEVER) or bool(names & SELDOM) and not names & TEXTUAL and tag not in ("article", "main")
+        return True, 0
+    return False, _named(tag, f"{attrs.get('class', '')} {attrs.get('id', '')}".lower())
+
+
+def _named(tag: str, names: str) -> int:
+    """0: nothing against the element; 1: a part of a name, which a fair share of points outweighs;
+    2: a name or the last part of one; 3: reader comments."""
+    found, words = 0, set()
+    for name in names.split():
+        parts = _WORD.findall(name)
+        if not parts or len(parts) > 1 and parts[0] in STATES:
+            continue
+        words.update(parts)
+        if len(parts) > 1:
+            parts = [x for x in parts if x not in WHOLE]
+        if READERS.intersection(parts):
+            found = 3
+        elif parts and parts[-1] in NEVER:
+            found = max(found, 2)
+        elif NEVER.intersection(parts):
+            found = max(found, 1)
+    if tag in ("article", "main"):
+        return 3 if found == 3 and tag == "article" and not words & TEXTUAL - {"body", "content", "text"} else 0
+    if not found and words & SELDOM and not words & TEXTUAL:
+        return 2
+    return found
 
 
 def parse(page: str) -> Node:
-    """The tree of a page without unwanted elements; text is kept as decoded strings."""
+    """The tree of a page without elements that go in any case; text is kept as decoded strings."""
     root = at = Node("#", None)
     lower = None
     unwanted_inline = set()  # tags of unwanted elements that are no blocks
@@ -155,8 +186,8 @@ def parse(page: str) -> Node:
                 at.children.append(Node("hr", at))
             continue
         node = Node(tag, at)
-        node.unwanted = _unwanted(tag, m[3], articles > 0)
-        if node.unwanted and tag not in BLOCK:
+        node.unwanted, node.named = _unwanted(tag, m[3], articles > 0)
+        if (node.unwanted or node.named) and tag not in BLOCK:
             unwanted_inline.add(tag)
         at.children.append(node)
         at = node
@@ -187,6 +218,9 @@ def _in_order(root: Node) -> list[Node]:
 
 def _measure(nodes: list[Node]) -> None:
     """Text and link-text sizes of all subtrees, children before parents."""
+    for node in nodes:
+        node.points = node.own = node.total = 0.0
+        node.size = node.linked = 0
     for node in reversed(nodes):
         own = sum(len(c.strip()) for c in node.children if isinstance(c, str))
         node.size += own
@@ -224,23 +258,72 @@ def _score(nodes: list[Node]) -> None:
         if not text:
             continue
         points = (min(1.0, len(text) / 25) + text.count(",") + text.count("，") + min(3.0, len(text) / 100)) * (1 - _link_share(node))
+        node.own += points
         up, level = node.parent if node.tag in PARAGRAPHS else node, 0
         while up is not None and up.tag != "#":
             up.points += points / (1, 2, 6, 9, 12)[min(level, 4)]
             up, level = up.parent, level + 1
 
 
+def _best(nodes: list[Node]) -> Node | None:
+    return max((n for n in nodes if n.points > 0 and n.tag in BLOCK),
+               key=lambda n: n.points * (1 - _link_share(n)), default=None)
+
+
+def _judge_names(nodes: list[Node]) -> bool:
+    """Mark what goes by its name; True if anything does."""
+    page = nodes[0].total
+    around: set[Node] = set()  # elements around an article or main
+    inside: set[Node] = set()  # articles with text and all below them
+    holds: set[Node] = set()  # containers: elements around paragraphs or headings
+    for n in nodes:
+        article = n.tag in ("article", "main") and not n.named
+        if article and n.total > 0 or n.parent in inside:
+            inside.add(n)
+        for found, seen in ((article, around), (n.tag in PARAGRAPHS or n.tag in HEADINGS, holds)):
+            up = n.parent if found else None
+            while up is not None and up not in seen:
+                seen.add(up)
+                up = up.parent
+    for n in nodes:
+        if not n.named or n in around and n.named < 3:
+            continue
+        most = 1.0 if n.named == 3 else 0.5
+        if n in holds and (n in inside or not inside) and page > 0 and (n.total >= most * page or n.named == 1 and n.total * (1 - _link_share(n)) >= 0.2 * page):
+            continue
+        n.unwanted = True
+    return any(n.unwanted for n in nodes)
+
+
+def _read(root: Node) -> list[Node]:
+    """The elements of a tree in order, measured and scored."""
+    nodes = _in_order(root)
+    _measure(nodes)
+    _score(nodes)
+    for node in reversed(nodes):
+        node.total += node.own
+        if node.parent is not None:
+            node.parent.total += node.total
+    return nodes
+
+
 def _container(nodes: list[Node]) -> list[Node]:
     """The best element, or its article, with the siblings that belong to it."""
-    best = max((n for n in nodes if n.points > 0 and n.tag in BLOCK),
-               key=lambda n: n.points * (1 - _link_share(n)), default=None)
+    best = _best(nodes)
     if best is None:
         return []
+    article = None
     up = best
-    while up is not None:
-        if up.tag in ("article", "main"):
-            return [up]
+    while up is not None:  # an article that is the smaller part of another stands for the whole
+        if up.tag in ("article", "main") and (article is None or article.total < 0.5 * up.total):
+            article = up
         up = up.parent
+    if article is not None:
+        while article.parent is not None and article.parent.tag not in ("#", "html", "body") and article.parent.total <= article.total:
+            article = article.parent
+        least = 0.2 * article.total * (1 - _link_share(article))
+        return [x for x in article.parent.children if isinstance(x, Node)
+                and (x is article or x.tag in BLOCK and x.total > 0 and x.total * (1 - _link_share(x)) >= least)]
     parent = best.parent
     if best.tag == "body" or parent is None:
         return [best]
@@ -274,7 +357,7 @@ def _blocks(tops: list[Node]) -> list[str]:
         elif isinstance(x, str):
             run.append(x)
         else:
-            if x.tag in ("ul", "ol", "dl", "table", "div", "section") and _link_share(x) > 0.5 and x not in tops:
+            if x.tag in ("ul", "ol", "dl", "table", "div", "section") and _link_share(x) > ALL_LINKS and x not in tops:
                 close()
                 continue
             if x.tag in BLOCK:
@@ -288,9 +371,11 @@ def _blocks(tops: list[Node]) -> list[str]:
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    nodes = _in_order(parse(page))
-    _measure(nodes)
-    _score(nodes)
+    root = parse(page)
+    nodes = _read(root)
+    if _judge_names(nodes):
+        _drop(root)
+        nodes = _read(root)
     return "\n".join(_blocks(_container(nodes) or nodes[:1]))
 
 
