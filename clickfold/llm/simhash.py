@@ -146,14 +146,15 @@ def near_pairs(distinct: DataFrame, most: int = BITS) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     words: int = WORDS, most: int = BITS) -> DataFrame:
-    """(id, fingerprint, component_id, text_hash) per row: component_id is the smallest id that can
-    be reached over fingerprints with at most ``most`` differing bits."""
+    """(id, fingerprint, component_id, text_hash, component) per row: component_id is the smallest id that
+    can be reached over fingerprints with at most ``most`` differing bits; component is the smallest
+    fingerprint there, which also names components without ids."""
     prints = stored(fingerprints(docs, id_col, text_col, words), "fingerprints")
     distinct = prints.groupBy("fp").agg(F.min(id_col).alias("least"))
     linked = components(near_pairs(distinct, most))
     reached = (distinct.join(linked, distinct["fp"] == linked["node"], "left")
                .select("fp", "least", F.coalesce("component", "fp").alias("component")))
     lowest = reached.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_print = reached.join(lowest, "component").select("fp", "component_id")
+    by_print = reached.join(lowest, "component").select("fp", "component_id", "component")
     return (prints.join(by_print, "fp")
-            .select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash"))
+            .select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash", "component"))
