@@ -54,7 +54,7 @@ def test_abandoned_session_count(q):
 
 def test_views_equal_their_analysis_queries_where_identical(q):
     # V1, V4, V6, V7, V8, V9, V10 differ from their analysis query only in ORDER BY
-    from conftest import rows
+    from base_helpers import rows
     for view, analysis in (("vw_traffic_overview", "traffic_overview"), ("vw_repeat_rate", "repeat_rate"),
                            ("vw_funnel_by_traffic", "funnel_by_source"), ("vw_funnel_by_browser", "funnel_by_browser"),
                            ("vw_product_to_cart_by_category", "product_to_cart_by_category"),
@@ -64,6 +64,6 @@ def test_views_equal_their_analysis_queries_where_identical(q):
 
 
 def test_revenue_view_drops_only_the_null_source(q):
-    from conftest import rows
+    from base_helpers import rows
     a3 = [r for r in rows(q("revenue_by_source")) if r[0] is not None]
     assert a3 == rows(q("vw_revenue_by_traffic"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from conftest import rows
+from base_helpers import rows
 
 from clickfold.plans.catalog import QUERIES
 from clickfold.plans.workspace import Workspace

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from decimal import Decimal
 
-from conftest import make_workspace, raw_df, rows
+from base_helpers import make_workspace, raw_df, rows
 from pyspark.sql import functions as F
 
 from clickfold.operators import inventory, staging

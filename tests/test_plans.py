@@ -6,7 +6,7 @@ import os
 import tempfile
 
 import pytest
-from conftest import make_workspace
+from base_helpers import make_workspace
 
 from clickfold.plans.catalog import QUERIES
 from clickfold.plans.workspace import Workspace
@@ -68,7 +68,7 @@ def test_filters_and_columns_reach_the_scan(spark, raw_dir):
 
 
 def test_raw_files_give_the_same_answers(spark, raw_dir):
-    from conftest import rows
+    from base_helpers import rows
     from_files = Workspace(read_raw(spark, raw_dir))
     lazy = Workspace.from_testdata(spark, SF)
     for key in ("stock_check", "repeat_rate", "revenue_by_source", "product_to_cart_by_category"):
@@ -76,7 +76,7 @@ def test_raw_files_give_the_same_answers(spark, raw_dir):
 
 
 def test_materialized_workspace(spark):
-    from conftest import rows
+    from base_helpers import rows
     ws = Workspace.from_testdata(spark, SF)
     written = ws.materialize(tempfile.mkdtemp(prefix="clickfold-ws-"))
     for key in ("abandonment_by_stock_category", "vw_repeat_rate", "funnel_overall"):
@@ -94,7 +94,7 @@ def test_views_registered(spark):
 
 
 def test_refresh_job_writes_the_twelve_views(spark, raw_dir):
-    from conftest import rows
+    from base_helpers import rows
 
     from clickfold.plans.catalog import VIEWS
     from clickfold.plans.refresh import refresh
@@ -108,7 +108,7 @@ def test_refresh_job_writes_the_twelve_views(spark, raw_dir):
 
 def test_csv_landing_folder(spark):
     """Raw tables arriving as CSV with headers read through the same explicit schemas."""
-    from conftest import rows
+    from base_helpers import rows
 
     from clickfold.sources.testdata import raw_tables
     root = tempfile.mkdtemp(prefix="clickfold-csv-")
@@ -124,7 +124,7 @@ def test_csv_landing_folder(spark):
 def test_bucketed_materialization_avoids_shuffles(spark):
     import re
 
-    from conftest import rows
+    from base_helpers import rows
     ws = Workspace.from_testdata(spark, SF)
     bucketed = ws.materialize(tempfile.mkdtemp(prefix="clickfold-bk-"), buckets=4)
     for key in ("cart_product_map", "abandonment_by_stock", "funnel_by_source", "repeat_rate",
@@ -160,7 +160,7 @@ def test_slicer_narrows_every_stage(spark):
 
 
 def test_slicer_on_materialized_workspace_rebuilds_derived_tables(spark):
-    from conftest import rows
+    from base_helpers import rows
     from pyspark.sql import functions as F
     lazy = Workspace.from_testdata(spark, SF)
     written = lazy.materialize(tempfile.mkdtemp(prefix="clickfold-ms-"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from conftest import rows
+from base_helpers import rows
 
 from clickfold.operators import staging
 from clickfold.sources.testdata import raw_events, raw_orders, raw_order_items
