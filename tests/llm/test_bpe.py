@@ -6,7 +6,7 @@ import random
 import public_tokenizers
 import pytest
 import tiktoken
-from conftest_llm import ODD
+from llm_helpers import ODD
 from hypothesis import given, settings
 from hypothesis import strategies as st
 

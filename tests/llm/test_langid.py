@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import zlib
 
-from conftest_llm import ODD
+from llm_helpers import ODD
 from pyspark.sql import functions as F
 
 from clickfold.llm import langid

@@ -3,7 +3,7 @@ from __future__ import annotations
 import hashlib
 import re
 
-from conftest_llm import ODD
+from llm_helpers import ODD
 from pyspark.sql import functions as F
 
 from clickfold.llm import decontaminate, licenses

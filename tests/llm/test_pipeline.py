@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from conftest_llm import ODD
+from llm_helpers import ODD
 from test_lines import plain as plain_lines
 from test_native import plain_hits, words
 from test_simhash import plain_components, plain_fingerprint

@@ -7,7 +7,7 @@ import re
 import zlib
 
 import numpy as np
-from conftest_llm import ODD
+from llm_helpers import ODD
 from pyspark.sql import functions as F
 
 from clickfold.llm import ann, htmltext, maxent

@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
-from conftest_llm import ODD
+from llm_helpers import ODD
 
 from clickfold.llm import graph, simhash
 

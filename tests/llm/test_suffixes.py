@@ -4,7 +4,7 @@ import hashlib
 import random
 
 import pytest
-from conftest_llm import ODD
+from llm_helpers import ODD
 
 from clickfold.llm import suffixes
 
