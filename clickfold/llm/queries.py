@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickfold.llm import ann, bpe, decontaminate, htmltext, langid, licenses, lines, maxent, simhash, suffixes
+from clickfold.llm import alignment, ann, bpe, decontaminate, htmltext, langid, licenses, lines, maxent, sharding, simhash, suffixes, whitening
 from clickfold.llm.common import crc_share, table
 
 
@@ -72,9 +72,26 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector on the eight strongest principal axes, scaled to unit variance."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=8)
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen shards of nearly equal bytes; equal texts share a shard."""
+    return sharding.shard(table(spark, sf_dir, "documents"), shards=16)
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How two public tokenizers cut every document, and how usual their links are in the corpus."""
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                           public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_simhash, op3_cross_polytope, op4_suffix_dedup, op5_fuzzy_lines,
-    op6_decontaminate, op7_byte_bpe, op8_html_text, op9_maxent, op10_licenses)}
+    op6_decontaminate, op7_byte_bpe, op8_html_text, op9_maxent, op10_licenses,
+    op11_whitening, op12_sharding, op13_alignment)}
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
   'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
@@ -120,4 +137,28 @@ SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS
 FROM doc LEFT JOIN size_ USING (doc_id) LEFT JOIN rest USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op4_suffix_dedup": OP4, "op6_decontaminate": OP6}
+#: Groups one after the other to the least loaded shard, in one recursion; CRC-32 byte by byte.
+OP12 = """
+WITH RECURSIVE
+bit_ AS (SELECT b, list_reduce([b, 1, 2, 3, 4, 5, 6, 7, 8],
+          lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v FROM range(256) r(b)),
+crc_table AS (SELECT list(v ORDER BY b) AS t FROM bit_),
+doc AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS bytes FROM documents),
+row_ AS (SELECT doc_id, CAST(len(bytes) + 1 AS BIGINT) AS size, sha256(text) AS digest,
+                xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(bytes, lambda x: CAST('0x' || x AS BIGINT))),
+                                            lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1]))) AS crc
+         FROM doc, crc_table),
+group_ AS (SELECT digest, sum(size) AS total, row_number() OVER (ORDER BY sum(size) DESC, digest) AS i FROM row_ GROUP BY digest),
+step_ AS (SELECT CAST(0 AS BIGINT) AS i, list_transform(range(16), lambda x: 0::HUGEINT) AS loads, NULL::BIGINT AS spot
+          UNION ALL
+          SELECT g.i, list_transform(loads, lambda x, j: CASE WHEN j = list_position(loads, list_min(loads)) THEN x + g.total ELSE x END),
+                 list_position(loads, list_min(loads)) - 1
+          FROM step_ s JOIN group_ g ON g.i = s.i + 1),
+place AS (SELECT total, spot, row_number() OVER (PARTITION BY total ORDER BY spot) AS k FROM step_ JOIN group_ USING (i)),
+turn AS (SELECT digest, total, row_number() OVER (PARTITION BY total ORDER BY digest) AS k FROM group_)
+SELECT doc_id, size, CAST(crc AS BIGINT) AS text_crc32, 'bytes' AS law, CAST(spot AS INTEGER) AS shard,
+       row_number() OVER (PARTITION BY spot ORDER BY doc_id NULLS LAST, digest) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM row_ JOIN turn USING (digest) JOIN place USING (total, k)
+"""
+
+ORACLES: dict[str, str] = {"op4_suffix_dedup": OP4, "op6_decontaminate": OP6, "op12_sharding": OP12}
