@@ -6,8 +6,7 @@ ranges overlap. How often a pair of ids is linked anywhere in the corpus is the
 
 1. One shuffle by the full text makes every distinct text one row with its multiplicity. A text that
    a third of all rows share is one row per task before the shuffle.
-2. Every distinct text is tokenised and aligned once. The texts of one Arrow batch (bounded in rows
-   and bytes) are a unit: one row with the texts' measures, the unit's id pairs with their links times
+2. Every distinct text is tokenised and aligned once. Some texts of a task, bounded in bytes, are a unit: one row with the texts' measures, the unit's id pairs with their links times
    multiplicity, and for every text the pairs of its links as positions in that list.
 3. Pair counts are sums over units, combined before the shuffle; the highest count of every B id
    follows from them. Pairs with counts return to the units that hold them, where each text's measures
@@ -32,6 +31,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import tiktoken
 from pyspark import TaskContext
@@ -39,8 +39,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clickfold.llm.common import small_batches, stored
+from clickfold.llm.common import runs_of, small_batches, stored
 
+#: Text of a unit; a longer text is a unit of its own.
+UNIT_BYTES = 2 << 20
 MEASURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
@@ -101,8 +103,9 @@ class Unit:
     """The alignment of some texts: their measures and, in ``links``, the id pair of every link."""
 
     def __init__(self, tokenizers: Tokenizers, texts: list[str]):
-        found = [tokenizers.ids(t) for t in texts]
-        a, b = (np.array([i for ids in found for i in ids[side]], dtype=np.int64) for side in (0, 1))
+        found = [tuple(np.array(ids, dtype=np.int32) for ids in tokenizers.ids(t)) for t in texts]
+        none = np.empty(0, np.int32)
+        a, b = (np.concatenate([none, *(ids[side] for ids in found)]).astype(np.int64) for side in (0, 1))
         a_cut, b_cut = (_cuts(len(ids[side]) for ids in found) for side in (0, 1))
         # Both sides cover the same bytes, text after text, so ends can be compared over the whole unit.
         a_end, b_end = np.cumsum(tokenizers.a_size[a]), np.cumsum(tokenizers.b_size[b])
@@ -158,7 +161,8 @@ def align_units(distinct: DataFrame, a_path: str, b_path: str, pattern: str) ->
 
     def batches(it):
         tokenizers, part = load(a_path, b_path, pattern), TaskContext.get().partitionId()
-        for k, batch in enumerate(it):
+        parts = (batch.slice(s, e - s) for batch in it for s, e in runs_of(pc.binary_length(batch.column(1)).to_pylist(), UNIT_BYTES))
+        for k, batch in enumerate(parts):
             unit = Unit(tokenizers, batch.column(1).to_pylist())
             pair, place = np.unique(unit.links, return_inverse=True)
             times = np.zeros(len(pair), dtype=np.int64)
