@@ -23,11 +23,13 @@ from clickfold.functions.semantics import stock_status
 from clickfold.operators.scan import forward_fill, running_sum
 
 
-def cart_product_map(events_temp: DataFrame) -> DataFrame:
-    """``(session_id, cart_time, product_id)`` for every cart event that follows a parsed product."""
+def cart_product_map(events_temp: DataFrame, clustered: bool = False) -> DataFrame:
+    """``(session_id, cart_time, product_id)`` for every cart event that follows a parsed product.
+    ``clustered``: the events are bucketed by session."""
     steps = (events_temp.filter(F.col("event_type").isin("product", "cart"))
              .select("session_id", "event_type", "sequence_number", "id", "created_date_clean", "product_id_raw"))
-    filled = forward_fill(steps, ["session_id"], ["sequence_number", "id"], "product_id_raw", "product_id")
+    filled = forward_fill(steps, ["session_id"], ["sequence_number", "id"], "product_id_raw", "product_id",
+                          clustered=clustered, keep=["session_id", "event_type", "created_date_clean"])
     return (filled.filter((F.col("event_type") == "cart") & F.col("product_id").isNotNull())
             .select("session_id", F.col("created_date_clean").alias("cart_time"), "product_id"))
 
@@ -58,14 +60,13 @@ def stock_check(cart_map: DataFrame, inventory_temp: DataFrame) -> DataFrame:
     Level > 0 at or before the cart time -> ``In stock``; 0, negative, or no history -> ``Out of stock``.
     """
     session_type = cart_map.schema["session_id"].dataType  # keeps a collation, if any
-    # Only the net level matters here, so movements of one instant are one row before the scan.
     stock = (stock_deltas(inventory_temp).filter(F.col("product_id").isNotNull())
-             .groupBy("product_id", "t").agg(F.sum("delta").alias("delta"))
              .select("product_id", "t", "delta", F.lit(0).alias("kind"),
                      F.lit(None).cast(session_type).alias("session_id"),
                      F.lit(None).cast("timestamp_ntz").alias("cart_time")))
-    carts = cart_map.select("product_id", F.col("cart_time").alias("t"), F.lit(0).cast("long").alias("delta"),
+    carts = cart_map.select("product_id", F.col("cart_time").alias("t"), F.lit(0).alias("delta"),
                             F.lit(1).alias("kind"), "session_id", "cart_time")
-    levels = running_sum(stock.unionByName(carts), ["product_id"], ["t", "kind"], "delta", "level")
+    levels = running_sum(stock.unionByName(carts), ["product_id"], ["t", "kind"], "delta", "level",
+                         keep=["session_id", "product_id", "cart_time", "kind"])
     return (levels.filter(F.col("kind") == 1)
             .select("session_id", "product_id", "cart_time", stock_status("level").alias("stock_status")))

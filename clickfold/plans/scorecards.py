@@ -8,12 +8,13 @@ one row per source, category or tier, so the global aggregates below move only a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from clickfold.functions.semantics import REVENUE_AT_RISK_MIN_ROWS, money_total, rate
-from clickfold.plans import abandonment, funnel, retention, traffic
+from clickfold.functions.semantics import REVENUE_AT_RISK_MIN_ROWS, money_total, rate, view_price_tier
+from clickfold.operators.sessions import rollup
+from clickfold.plans import abandonment, retention, traffic
 from clickfold.plans.workspace import Workspace
 
 
@@ -57,41 +58,49 @@ def revenue_at_risk_total(ws: Workspace, min_rows: int = REVENUE_AT_RISK_MIN_ROW
 
 
 def overview_kpis(ws: Workspace) -> DataFrame:
-    """Sessions (V5), revenue (sum of V2), overall AOV (D2) and cart abandonment rate (A15), 1 row."""
-    sessions = funnel.funnel_overall(ws.events_temp, with_total=True).select("total_sessions")
+    """Sessions (V5), revenue (sum of V2), overall AOV (D2) and cart abandonment rate (A15), 1 row.
+
+    One rollup of the events gives every session's purchase flag; the carts of a session join it, so the
+    same rows count all sessions and the abandoned carts.
+    """
+    sessions = rollup(ws.events_temp, ["session_id"], {"has_purchase": "purchase"})
+    carts = ws.stock_check.groupBy("session_id").agg(F.count(F.lit(1)).alias("__carts"))
+    visits = (sessions.join(carts, "session_id", "left")
+              .agg(F.count(F.lit(1)).alias("total_sessions"),
+                   rate(F.sum(F.when(F.col("has_purchase") == 0, F.col("__carts")).otherwise(0)), F.sum("__carts"))
+                   .alias("abandonment_rate")))
     v2 = traffic.revenue_by_source(ws.orders_temp, ws.order_items_temp, ws.users_temp, require_source=True)
     revenue = v2.agg(money_total("total_revenue").alias("total_revenue"),
                      rate(money_total("total_revenue"), F.sum("total_orders")).alias("overall_aov"))
-    a15 = abandonment.abandonment_by_stock(ws.cart_facts)
-    aband = a15.agg(rate(F.sum("abandoned_carts"), F.sum("total_carts")).alias("abandonment_rate"))
-    # Three one-row aggregates side by side: stack them (missing columns NULL) and keep each
+    # Two one-row aggregates side by side: stack them (missing columns NULL) and keep each
     # column's one value with a global aggregate -- no join.
     kpis = ["total_sessions", "total_revenue", "overall_aov", "abandonment_rate"]
-    stacked = sessions.unionByName(revenue, allowMissingColumns=True).unionByName(aband, allowMissingColumns=True)
-    return stacked.agg(*[F.max(c).alias(c) for c in kpis])
+    return visits.unionByName(revenue, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in kpis])
 
 
 def highest_risk_cards(ws: Workspace) -> DataFrame:
     """The riskiest category, session source and price tier by abandonment rate.
 
     Top 1 per dimension (the card is the feature); ties go to the smallest label, NULL first.
-    Category is re-aggregated over stock status.
+    Category is re-aggregated over stock status. One pass over the facts counts for all three
+    dimensions; partial sums leave a task, one per label.
     """
-    facts = ws.cart_facts_sourced
     prod = ws.products.select(F.col("id").alias("__pid"), "category", "retail_price")
-    with_prod = facts.join(prod, F.col("product_id") == F.col("__pid"), "inner")
+    facts = ws.cart_facts_sourced.join(prod, F.col("product_id") == F.col("__pid"), "left")
+    known = F.col("__pid").isNotNull()  # category and tier only count carts of listed products
 
-    def top(df: DataFrame, label, dimension: str) -> DataFrame:
+    def card(dimension: str, label, counts) -> Column:
         # labels of the three cards share one column: plain (binary) strings
-        agg = (df.groupBy(label.cast(StringType()).alias("label"))
+        return F.when(counts, F.struct(F.lit(dimension).alias("dimension"), label.cast(StringType()).alias("label")))
+
+    cards = F.array(card("category", F.col("category"), known),
+                    card("traffic_source", F.col("traffic_source"), F.lit(True)),
+                    card("price_tier", view_price_tier("retail_price"), known))
+    counted = (facts.select("has_purchase", F.explode(cards).alias("__card")).where(F.col("__card").isNotNull())
+               .groupBy(F.col("__card.dimension").alias("dimension"), F.col("__card.label").alias("label"))
                .agg(F.count(F.lit(1)).alias("times_added_to_cart"),
                     F.sum(F.when(F.col("has_purchase") == 0, 1).otherwise(0)).alias("abandoned_count"))
                .withColumn("abandonment_rate", rate("abandoned_count", "times_added_to_cart")))
-        return (agg.orderBy(F.desc_nulls_last("abandonment_rate"), F.asc_nulls_first("label")).limit(1)
-                .select(F.lit(dimension).alias("dimension"), "label", "times_added_to_cart", "abandoned_count",
-                        "abandonment_rate"))
-
-    from clickfold.functions.semantics import view_price_tier
-    return (top(with_prod, F.col("category"), "category")
-            .unionByName(top(facts, F.col("traffic_source"), "traffic_source"))
-            .unionByName(top(with_prod, view_price_tier("retail_price"), "price_tier")))
+    best = Window.partitionBy("dimension").orderBy(F.desc_nulls_last("abandonment_rate"), F.asc_nulls_first("label"))
+    return (counted.withColumn("__place", F.row_number().over(best)).where(F.col("__place") == 1)
+            .select("dimension", "label", "times_added_to_cart", "abandoned_count", "abandonment_rate"))

@@ -42,6 +42,11 @@ LAYOUT = {
 }
 
 
+def _bucketed(df: DataFrame) -> bool:
+    """Whether ``df`` is a table that :meth:`Workspace.materialize` wrote in buckets, as it stands."""
+    return getattr(df, "clickfold_bucketed", False)
+
+
 class Workspace:
     def __init__(self, raw: RawTables | LazyRawTables | None = None, *,
                  tables: dict[str, DataFrame] | None = None, collation: str | None = None):
@@ -89,7 +94,7 @@ class Workspace:
     # -- derived (analysis) -----------------------------------------------------------------
     @cached_property
     def cart_product_map(self) -> DataFrame:
-        return inventory.cart_product_map(self.events_temp)
+        return inventory.cart_product_map(self.events_temp, clustered=_bucketed(self.events_temp))
 
     @cached_property
     def stock_timeline(self) -> DataFrame:
@@ -157,6 +162,7 @@ class Workspace:
                 (df.repartition(buckets, *cluster).write.bucketBy(buckets, *cluster).sortBy(*sort)
                  .option("path", path).mode("overwrite").saveAsTable(table))
                 ws.__dict__[name] = spark.table(table)
+                ws.__dict__[name].clickfold_bucketed = True
             else:
                 (df.repartition(*cluster).sortWithinPartitions(*sort)
                  .write.mode("overwrite").parquet(path))

@@ -72,9 +72,21 @@ def read_raw(spark: SparkSession, root: str, fmt: str = "parquet", options: dict
 
 
 def by_name(df: DataFrame, schema: StructType) -> DataFrame:
-    """The schema's columns, matched by name without regard to case, then all other columns of ``df``."""
+    """The schema's columns, matched by name without regard to case, then all other columns of ``df``.
+
+    A column that already has its name and type is taken as it is: a cast or an alias that changes
+    nothing would still keep Spark from seeing that two uses of the table are the same.
+    """
     have = {c.lower(): c for c in df.columns}
-    known = [(F.col(f"`{have[f.name.lower()]}`").try_cast(f.dataType) if f.name.lower() in have
-              else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields]
+
+    def column(field):
+        name = have.get(field.name.lower())
+        if name is None:
+            return F.lit(None).cast(field.dataType).alias(field.name)
+        found = F.col(f"`{name}`")
+        if df.schema[name].dataType != field.dataType:
+            return found.try_cast(field.dataType).alias(field.name)
+        return found if name == field.name else found.alias(field.name)
+
     names = {f.name.lower() for f in schema.fields}
-    return df.select(*known, *(F.col(f"`{c}`") for c in df.columns if c.lower() not in names))
+    return df.select(*map(column, schema.fields), *(F.col(f"`{c}`") for c in df.columns if c.lower() not in names))

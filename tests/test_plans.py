@@ -7,6 +7,7 @@ import tempfile
 
 import pytest
 from base_helpers import make_workspace
+from pyspark.sql import functions as F
 
 from clickfold.plans.catalog import QUERIES
 from clickfold.plans.workspace import Workspace
@@ -167,3 +168,41 @@ def test_slicer_on_materialized_workspace_rebuilds_derived_tables(spark):
     chrome = F.col("browser") == "Chrome"
     assert rows(QUERIES["abandonment_by_stock"](written.sliced(events_temp=chrome))) == \
         rows(QUERIES["abandonment_by_stock_chrome"](lazy))
+
+
+def _reads(df) -> dict[str, int]:
+    """How often the plan that ran read each raw table."""
+    import collections
+    import re
+    df.collect()
+    ran = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return dict(collections.Counter(re.findall(r"InMemoryFileIndex\(1 paths\)\[file:[^\]]*?clickfold-raw-\w+/(\w+)", ran)))
+
+
+@pytest.mark.parametrize("key, most", [
+    ("cart_product_map", {"events": 1}),
+    ("stock_timeline", {"inventory_events": 2}),  # one for each of the two movements
+    ("stock_check", {"events": 1, "inventory_events": 2}),
+    ("order_gap_buckets", {"orders": 1}),
+    ("repeat_rate", {"orders": 1, "users": 1}),
+    ("abandonment_by_stock", {"events": 2, "inventory_events": 2}),
+    ("abandonment_by_stock_category", {"events": 2, "inventory_events": 2, "products": 1}),
+    ("abandonment_by_source", {"events": 2}),
+    ("overview_kpis", {"events": 2, "orders": 1, "order_items": 1, "users": 1}),
+    ("highest_risk_cards", {"events": 2, "products": 1}),
+    ("revenue_at_risk_total", {"events": 2, "inventory_events": 2, "products": 1}),
+])
+def test_scans_read_their_source_once(spark, raw_dir, key, most):
+    """Both levels of a keyed scan share one exchange, nested scans too: the source is read once, and
+    once more where a metric rolls the events up by session."""
+    got = _reads(QUERIES[key](Workspace(read_raw(spark, raw_dir))))
+    assert got and all(n <= most.get(name, 0) for name, n in got.items()), got
+
+
+def test_the_levels_of_a_scan_share_an_exchange_when_columns_go_unused(spark, raw_dir):
+    """Whatever part of a scan's columns is used, the two levels ask for the same ones."""
+    from clickfold.operators import scan
+    orders = read_raw(spark, raw_dir).orders.select("user_id", "order_id", "status", "created_at")
+    orders = orders.withColumn("t", F.replace("created_at", F.lit(" UTC"), F.lit("")).cast("timestamp_ntz"))
+    scanned = scan.previous_value(orders, ["user_id"], ["t", "order_id"], "status", "before")
+    assert _reads(scanned.groupBy("before").count()) == {"orders": 1}
