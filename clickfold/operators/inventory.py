@@ -50,7 +50,7 @@ def stock_timeline(inventory_temp: DataFrame) -> DataFrame:
     interchangeable, so the multiset of output rows is deterministic.
     """
     levels = running_sum(stock_deltas(inventory_temp), ["product_id"], ["t", F.desc("delta")], "delta",
-                         "stock_level")
+                         "stock_level", unit="DAY")
     return levels.select("product_id", "t", "stock_level")
 
 
@@ -66,7 +66,7 @@ def stock_check(cart_map: DataFrame, inventory_temp: DataFrame) -> DataFrame:
                      F.lit(None).cast("timestamp_ntz").alias("cart_time")))
     carts = cart_map.select("product_id", F.col("cart_time").alias("t"), F.lit(0).alias("delta"),
                             F.lit(1).alias("kind"), "session_id", "cart_time")
-    levels = running_sum(stock.unionByName(carts), ["product_id"], ["t", "kind"], "delta", "level",
+    levels = running_sum(stock.unionByName(carts), ["product_id"], ["t", "kind"], "delta", "level", unit="DAY",
                          keep=["session_id", "product_id", "cart_time", "kind"])
     return (levels.filter(F.col("kind") == 1)
             .select("session_id", "product_id", "cart_time", stock_status("level").alias("stock_status")))
