@@ -27,8 +27,21 @@ SMALL_DATA_MIN_ROWS = 15
 Query = Callable[[Workspace], DataFrame]
 
 
-def _sliced_abandonment(ws: Workspace, events_predicate) -> DataFrame:
-    return ab.abandonment_by_stock(ws.sliced(events_temp=events_predicate).cart_facts)
+def _sliced_abandonment(ws: Workspace, **slicers) -> DataFrame:
+    return ab.abandonment_by_stock(ws.sliced(**slicers).cart_facts)
+
+
+def _of_source(ws: Workspace, source: str) -> Workspace:
+    return ws.sliced(users_temp=F.col("traffic_source") == source)
+
+
+def _revenue(ws: Workspace) -> DataFrame:
+    return tr.revenue_by_source(ws.orders_temp, ws.order_items_temp, ws.users_temp)
+
+
+def _revenue_trend(ws: Workspace) -> DataFrame:
+    return tr.revenue_trend_by_source(ws.orders_temp, ws.order_items_temp, ws.users_temp)
+
 
 VIEWS: dict[str, Query] = {
     "vw_traffic_overview": lambda ws: tr.traffic_overview(ws.events_temp, ordered=False),
@@ -66,9 +79,8 @@ QUERIES: dict[str, Query] = {
     # A: metrics
     "users_by_source": lambda ws: tr.users_by_source(ws.users_temp),
     "traffic_overview": lambda ws: tr.traffic_overview(ws.events_temp),
-    "revenue_by_source": lambda ws: tr.revenue_by_source(ws.orders_temp, ws.order_items_temp, ws.users_temp),
-    "revenue_trend_by_source": lambda ws: tr.revenue_trend_by_source(ws.orders_temp, ws.order_items_temp,
-                                                                     ws.users_temp),
+    "revenue_by_source": _revenue,
+    "revenue_trend_by_source": _revenue_trend,
     "sessions_trend_by_source": lambda ws: tr.sessions_trend_by_source(ws.events_temp),
     "order_gap_buckets": lambda ws: rt.order_gap_buckets(ws.orders_temp),
     "event_gap_buckets": lambda ws: rt.event_gap_buckets(ws.events_temp),
@@ -97,8 +109,13 @@ QUERIES: dict[str, Query] = {
     "channel_scorecard": sc.channel_scorecard,
     "revenue_at_risk_total": sc.revenue_at_risk_total,
     "revenue_at_risk_total_min15": lambda ws: sc.revenue_at_risk_total(ws, min_rows=SMALL_DATA_MIN_ROWS),
-    # A slicer (browser) applied to the events stage, then the stock-status abandonment metric
-    "abandonment_by_stock_chrome": lambda ws: _sliced_abandonment(ws, F.col("browser") == "Chrome"),
+    # Slicers -- browser of the events, month of the orders, category of the products, source of the users
+    "abandonment_by_stock_chrome": lambda ws: _sliced_abandonment(ws, events_temp=F.col("browser") == "Chrome"),
+    "revenue_by_source_march_1998": lambda ws: _revenue(ws.sliced(
+        orders_temp=F.date_trunc("MONTH", "created_date_clean") == F.lit("1998-03-01 00:00:00").cast("timestamp_ntz"))),
+    "abandonment_by_stock_promo": lambda ws: _sliced_abandonment(ws, products=F.col("category") == "PROMO"),
+    "revenue_trend_of_source": lambda ws: _revenue_trend(_of_source(ws, "BUILDING")),
+    "funnel_of_source": lambda ws: fn.funnel_overall(_of_source(ws, "BUILDING").events_temp, with_total=True),
 }
 
 

@@ -14,6 +14,7 @@ import uuid
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from clickfold.functions.semantics import collate_strings
 from clickfold.operators import inventory, staging
@@ -26,6 +27,17 @@ DERIVED = ("cart_product_map", "stock_timeline", "stock_check", "cart_facts_sour
 # A written table that also serves as another (its columns are a superset).
 SERVES_AS = {"cart_facts_sourced": ("cart_facts",)}
 
+# (one, its key, many, the key there): every row of ``many`` belongs to at most one row of ``one``. A slicer on
+# ``one`` narrows ``many``, as filters travel along a dashboard's relationships; parents come first.
+RELATIONS = (
+    ("users_temp", "id", "orders_temp", "user_id"),
+    ("users_temp", "id", "events_temp", "user_id_fix"),
+    ("orders_temp", "order_id", "order_items_temp", "order_id"),
+    ("products", "id", "order_items_temp", "product_id"),
+    ("products", "id", "inventory_events_temp", "product_id"),
+    ("products", "id", "cart_product_map", "product_id"),
+)
+
 # File layout per table when written: (cluster key, sort within files). Mirrors the reference's
 # indexes on events (session_id, sequence_number) and inventory (product_id, created, sold).
 LAYOUT = {
@@ -116,18 +128,29 @@ class Workspace:
 
     # -- slicers (dashboard cross-filters, D8) ----------------------------------------------
     def sliced(self, **predicates: Column) -> Workspace:
-        """A workspace whose staged tables are restricted, e.g. ``sliced(events_temp=col('browser') == 'IE')``.
+        """A workspace restricted by predicates on staged tables, e.g. ``sliced(events_temp=col('browser') == 'IE')``.
 
-        Derived tables of the new workspace are rebuilt from the restricted stages, so a slicer on
-        events also narrows cart map and stock check. The predicate sits directly above the stage
-        and is pushed into the scan by Catalyst.
+        The predicate sits directly above its stage and is pushed into the scan by Catalyst. Tables on the
+        many side of a relation (:data:`RELATIONS`) keep the rows whose parent is left, by semi-joins on the
+        key: a slicer on users narrows their orders, events and items, one on products the items, the stock
+        and the cart map. The cart map is cut after the forward fill, so a product slicer does not change
+        which product a cart belongs to. Other derived tables are rebuilt from the restricted ones.
         """
-        tables = {}
-        for name in STAGED:
-            df = getattr(self, name)
-            tables[name] = df.filter(predicates.pop(name)) if name in predicates else df
-        if predicates:
-            raise KeyError(f"slicers only apply to staged tables {STAGED}, got {sorted(predicates)}")
+        unknown = sorted(set(predicates) - set(STAGED))
+        if unknown:
+            raise KeyError(f"slicers only apply to staged tables {STAGED}, got {unknown}")
+        tables = {name: getattr(self, name) for name in STAGED}
+        narrowed = set(predicates)
+        for name, predicate in predicates.items():
+            tables[name] = tables[name].filter(predicate)
+        for one, key, many, ref in RELATIONS:
+            if one not in narrowed:
+                continue
+            if many not in tables:  # the cart map, of the events as they are restricted by now
+                tables[many] = Workspace(self.raw, tables=tables, collation=self.collation).cart_product_map
+            parents = tables[one].select(F.col(key).alias("__parent"))
+            tables[many] = tables[many].join(parents, F.col(ref) == F.col("__parent"), "left_semi")
+            narrowed.add(many)
         return Workspace(self.raw, tables=tables, collation=self.collation)
 
     # -- materialisation --------------------------------------------------------------------
