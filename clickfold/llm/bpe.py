@@ -4,7 +4,7 @@ For every prefix of a piece exactly one token can end its merge-order encoding.
 that last token per byte position, so that
 
 * encoding is linear in the bytes (each position tries the vocabulary's tokens that end there),
-* an append only computes the new positions,
+* an append only computes the new positions, from the longest token's length before them,
 * an edit re-computes from its first byte and stops once the stored tokens agree again over the
   longest token's length, from where both tables must stay equal.
 
@@ -19,9 +19,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,25 +32,48 @@ from pyspark.sql import types as T
 
 from clickfold.llm.common import small_batches
 
-#: Encoded pieces that a worker keeps; the store is emptied when full, which only costs time.
-PIECE_STORE = 200_000
+#: Encoded pieces that a worker keeps in each of two generations: what is used again moves to the new one,
+#: and the old one goes when the new one is full. Only time depends on it.
+PIECE_STORE = 250_000
 #: Decided token pairs that a worker keeps, in the same way.
 PAIR_STORE = 200_000
 
 
+class Generations(dict):
+    """A bounded store of computed values; a missing one is looked up in the old generation, then made."""
+
+    def __init__(self, size: int, make, keeps=lambda key: True):
+        super().__init__()
+        self.size, self.make, self.keeps, self.old = size, make, keeps, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+            if not self.keeps(key):
+                return value
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class Vocabulary:
     """Token bytes by rank, and the two parts whose merge made each token."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.rank = ranks
         self.text = {r: t for t, r in ranks.items()}
+        self.size = {r: len(t) for t, r in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
         self.parts: dict[int, tuple[int, int]] = {}
         self.merged: dict[tuple[int, int], int] = {}
         self.plain: set[int] = set()  # tokens that encoding their own bytes gives back
-        self.first: dict[bytes, int] = {}
-        self.after: dict[int, dict[bytes, int]] = {}
-        self.decided = 0
+        self.width = max(ranks.values(), default=0) + 1
+        #: by left token * width + right token: whether right can follow left
+        self.follows = Generations(PAIR_STORE, lambda pair: (r := pair % self.width) in self.plain
+                                   and self.stay_apart(pair // self.width, r))
         for token, r in sorted(ranks.items(), key=lambda x: x[1]):
             if len(token) == 1:
                 self.plain.add(r)
@@ -61,6 +84,34 @@ class Vocabulary:
                 self.merged[pair] = r
                 self.plain.add(r)
 
+    def walk_back(self, last: list[int]) -> list[int]:
+        """The encoding that ends with the last token of the whole."""
+        out, end, size = [], len(last), self.size
+        while end:
+            token = last[end - 1]
+            out.append(token)
+            end -= size[token]
+        return out[::-1]
+
+    def encode(self, data: bytes) -> list[int]:
+        """The tokens of ``data``: ``extend`` from nothing, written out as most pieces come this way once."""
+        rank, follows, width, plain = self.rank.get, self.follows, self.width, self.plain
+        last: list[int] = []
+        start = 0  # where the token of the prefix before began
+        for end in range(1, len(data) + 1):
+            token = rank(data[start:end])
+            if token is None or not (follows[last[start - 1] * width + token] if start else token in plain):
+                start = end
+                while start:
+                    start -= 1
+                    token = rank(data[start:end])
+                    if token is not None and (follows[last[start - 1] * width + token] if start else token in plain):
+                        break
+                else:
+                    raise ValueError("the vocabulary lacks a byte of the text")
+            last.append(token)
+        return self.walk_back(last)
+
     def _merge_below(self, token: bytes, limit: int) -> list[int]:
         """Merge the bytes of ``token`` with all merges of a rank under ``limit``."""
         rank = self.rank
@@ -102,44 +153,25 @@ class Vocabulary:
                 right_until = min(right_until, right)
                 right = b[0]
 
-    def followers(self, token: int) -> dict[bytes, int]:
-        """What is known of the tokens after ``token``: their rank, or -1 if they cannot follow it."""
-        row = self.after.get(token)
-        if row is None:
-            if self.decided >= PAIR_STORE:
-                self.after.clear()
-                self.decided = 0
-            row = self.after[token] = {}
-        return row
-
-    def extend(self, data: bytes, last: list[int], until: int | None = None) -> None:
-        """Append to ``last`` the last tokens of the prefixes of ``data`` up to ``until`` bytes.
+    def extend(self, data: bytes, last: list[int], base: int = 0, until: int | None = None) -> None:
+        """Append to ``last`` the last tokens of the prefixes up to ``until`` bytes. ``data`` holds the bytes
+        from ``base`` on, at least the longest token's length before the first new one.
 
-        Only one token fits each prefix, so the order of the tries is free: most are short.
+        Only one token fits each prefix, so the order of the tries is free: first the token of the prefix
+        before, one byte longer, then from short to long.
         """
-        rank, longest, followers = self.rank.get, self.longest, self.followers
-        rows = [self.first, *map(followers, last)]
-        for end in range(len(last) + 1, (len(data) if until is None else until) + 1):
-            for start in range(end - 1, max(-1, end - longest - 1), -1):
-                part = data[start:end]
-                row = rows[start]
-                token = row.get(part)
-                if token is None:
-                    token = rank(part)
-                    if token is None:
-                        continue
-                    if token not in self.plain or start and not self.stay_apart(last[start - 1], token):
-                        row[part] = -1
-                        self.decided += 1
-                        continue
-                    row[part] = token
-                    self.decided += 1
-                if token >= 0:
-                    break
-            else:
-                raise ValueError("the vocabulary lacks a byte of the text")
+        rank, follows, width, size, plain = self.rank.get, self.follows, self.width, self.size, self.plain
+        for end in range(len(last) + 1, (base + len(data) if until is None else until) + 1):
+            grown = end - 1 - size[last[-1]] if last else 0
+            start, token = grown, rank(data[max(0, grown - base):end - base]) if grown >= base else None
+            if token is None or not (follows[last[start - 1] * width + token] if start else token in plain):
+                for start in range(end - 1, max(base - 1, end - self.longest - 1), -1):
+                    token = rank(data[start - base:end - base])
+                    if token is not None and (follows[last[start - 1] * width + token] if start else token in plain):
+                        break
+                else:
+                    raise ValueError("the vocabulary lacks a byte of the text")
             last.append(token)
-            rows.append(followers(token))
 
 
 class Prefixes:
@@ -147,23 +179,28 @@ class Prefixes:
 
     def __init__(self, vocabulary: Vocabulary, data: bytes = b""):
         self.vocabulary = vocabulary
-        self.data = b""
+        self.data = bytearray()
         self.last: list[int] = []
         self.append(data)
 
+    def _extend(self, until: int | None = None) -> None:
+        base = max(0, len(self.last) - self.vocabulary.longest)
+        self.vocabulary.extend(bytes(memoryview(self.data)[base:until]), self.last, base, until)
+
     def append(self, data: bytes) -> None:
+        """Add bytes at the end; what was there before is not touched."""
         self.data += data
-        self.vocabulary.extend(self.data, self.last)
+        self._extend()
 
     def replace(self, start: int, stop: int, data: bytes) -> int:
         """Put ``data`` in place of [start, stop); return how many positions were computed anew."""
         old, shift = self.last, len(data) - (stop - start)
-        self.data = self.data[:start] + data + self.data[stop:]
+        self.data[start:stop] = data
         self.last = old[:start]
         fixed, longest = start + len(data), self.vocabulary.longest
         while len(self.last) < len(self.data):
             done = len(self.last)
-            self.vocabulary.extend(self.data, self.last, min(len(self.data), done + 4 * longest))
+            self._extend(min(len(self.data), done + 4 * longest))
             agreed = 0
             for end in range(max(done - longest, fixed), len(self.last)):
                 agreed = agreed + 1 if old[end - shift] == self.last[end] else 0
@@ -174,30 +211,7 @@ class Prefixes:
         return len(self.data) - start
 
     def tokens(self) -> list[int]:
-        out, end, text = [], len(self.data), self.vocabulary.text
-        while end:
-            token = self.last[end - 1]
-            out.append(token)
-            end -= len(text[token])
-        return out[::-1]
-
-
-class _Pieces(dict):
-    """Token ids of pieces met before; a missing piece is encoded when it is asked for."""
-
-    def __init__(self, vocabulary: Vocabulary):
-        super().__init__()
-        self.vocabulary = vocabulary
-
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        data = piece.encode("utf-8")
-        whole = self.vocabulary.rank.get(data)
-        ids = (whole,) if whole is not None else tuple(Prefixes(self.vocabulary, data).tokens())
-        if len(data) <= 64:
-            if len(self) >= PIECE_STORE:
-                self.clear()
-            self[piece] = ids
-        return ids
+        return self.vocabulary.walk_back(self.last)
 
 
 class Encoder:
@@ -206,10 +220,24 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary = vocabulary
         self.split = regex.compile(pattern).findall
-        self.pieces = _Pieces(vocabulary)
+        #: by piece: its ids packed as 32-bit numbers, in decimals, and decoded again
+        self.pieces = Generations(PIECE_STORE, self._piece, lambda piece: len(piece) <= 64)
+        self.whole = {r: self._forms([r]) for r in vocabulary.text}
+
+    def _forms(self, ids: list[int]) -> tuple[bytes, bytes, bytes]:
+        return struct.pack(f"<{len(ids)}i", *ids), b" ".join([b"%d" % i for i in ids]), self.decode(ids)
+
+    def _piece(self, piece: str) -> tuple[bytes, bytes, bytes]:
+        data = piece.encode("utf-8")
+        whole = self.vocabulary.rank.get(data)
+        return self._forms(self.vocabulary.encode(data)) if whole is None else self.whole[whole]
+
+    def forms(self, text: str) -> list[tuple[bytes, bytes, bytes]]:
+        """The three forms of every piece."""
+        return [*map(self.pieces.__getitem__, self.split(text))]
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.pieces.__getitem__, self.split(text))))
+        return np.frombuffer(b"".join([f[0] for f in self.forms(text)]), dtype="<i4").tolist()
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.vocabulary.text.__getitem__, ids))
@@ -231,7 +259,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = load(path, pattern)
         for batch in it:
-            ids = [np.array(encoder.encode(t or ""), dtype=np.int32) for t in batch.column(1).to_pylist()]
+            ids = [np.frombuffer(b"".join([f[0] for f in encoder.forms(t or "")]), dtype="<i4") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], [id_col, "ids"])
 
     return small_batches(docs.select(id_col, text_col)).mapInArrow(batches, schema)
@@ -265,16 +293,16 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
     def batches(it):
         encoder = load(path, pattern)
-        decimal = {r: b"%d" % r for r in encoder.vocabulary.text}
         for batch in it:
             counts, digests, decoded, kept = [], [], [], []
             for text in batch.column(1).to_pylist():
-                ids = encoder.encode(text or "")
+                forms = encoder.forms(text or "")
+                ids = np.frombuffer(b"".join([f[0] for f in forms]), dtype="<i4")
                 counts.append(len(ids))
-                digests.append(hashlib.sha256(b" ".join(map(decimal.__getitem__, ids))).hexdigest())
-                decoded.append(hashlib.sha256(encoder.decode(ids)).hexdigest())
+                digests.append(hashlib.sha256(b" ".join([f[1] for f in forms])).hexdigest())
+                decoded.append(hashlib.sha256(b"".join([f[2] for f in forms])).hexdigest())
                 if with_ids:
-                    kept.append(np.array(ids, dtype=np.int32))
+                    kept.append(ids)
             arrays = [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
             if with_ids:
                 arrays.append(pa.array(kept, pa.list_(pa.int32())))

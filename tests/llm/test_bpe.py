@@ -65,3 +65,35 @@ def test_odd_rows_and_separate_decoding(docs):
     back = bpe.decode(bpe.encode(table, PATH, PATTERN), PATH, PATTERN).collect()
     assert sorted(bytes(r.data) for r in back) == sorted((t or "").encode() for _, t in ODD)
     assert bpe.round_trip(docs([]), PATH, PATTERN).count() == 0
+
+
+def test_an_append_only_looks_at_the_end(monkeypatch):
+    """What an append computes and reads does not grow with the text."""
+    v = bpe.load(PATH, PATTERN).vocabulary
+    seen = []
+    extend = bpe.Vocabulary.extend
+    monkeypatch.setattr(bpe.Vocabulary, "extend", lambda self, data, last, base=0, until=None: (
+        seen.append(len(data)), extend(self, data, last, base, until)))
+    for size in (10, 1_000, 100_000):
+        grown = bpe.Prefixes(v, b"the inner part " * size)
+        seen.clear()
+        for piece in (b"a", b"nd", b" so", b" forth"):
+            grown.append(piece)
+        assert max(seen) <= v.longest + 6
+        assert grown.tokens() == v.encode(b"the inner part " * size + b"and so forth")
+
+
+def test_stores_keep_what_is_used_and_stay_bounded():
+    made = []
+    store = bpe.Generations(10, lambda key: made.append(key) or -key)
+    for i in range(1, 1000):
+        assert store[i] == -i and store[7] == -7
+        assert len(store) + len(store.old) <= 20
+    assert made.count(7) == 1
+
+
+def test_full_stores_change_nothing(monkeypatch, corpus, reference):
+    encoder = bpe.Encoder(bpe.Vocabulary(reference._mergeable_ranks), PATTERN)
+    encoder.pieces.size = encoder.vocabulary.follows.size = 50
+    for _, text in corpus[:20]:
+        assert encoder.encode(text or "") == reference.encode_ordinary(text or "")
