@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clickfold.llm.common import runs_of, small_batches, stored
+from clickfold.llm.common import runs_of, small_batches, stored, tidy
 
 #: Text of a unit; a longer text is a unit of its own.
 UNIT_BYTES = 2 << 20
@@ -175,7 +175,7 @@ def align_units(distinct: DataFrame, a_path: str, b_path: str, pattern: str) ->
                    _packed(back[place]), pair[order], times[order]]
             yield pa.RecordBatch.from_arrays([pa.array([x], pa_type) for x, pa_type in zip(row, _ARROW, strict=True)], _UNIT.fieldNames())
 
-    return small_batches(distinct.select("key", "text", "multiplicity")).mapInArrow(batches, _UNIT)
+    return small_batches(distinct.select("key", "text", "multiplicity")).mapInArrow(tidy(batches), _UNIT)
 
 
 _LONGS = pa.list_(pa.int64())

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clickfold.llm.common import small_batches
+from clickfold.llm.common import small_batches, tidy
 
 #: Encoded pieces that a worker keeps in each of two generations: what is used again moves to the new one,
 #: and the old one goes when the new one is full. Only time depends on it.
@@ -262,7 +262,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             ids = [np.frombuffer(b"".join([f[0] for f in encoder.forms(t or "")]), dtype="<i4") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], [id_col, "ids"])
 
-    return small_batches(docs.select(id_col, text_col)).mapInArrow(batches, schema)
+    return small_batches(docs.select(id_col, text_col)).mapInArrow(tidy(batches), schema)
 
 
 def decode(tokens: DataFrame, path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
@@ -276,7 +276,7 @@ def decode(tokens: DataFrame, path: str, pattern: str, id_col: str = "doc_id") -
             data = [encoder.decode(ids or []) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], [id_col, "data"])
 
-    return tokens.select(id_col, "ids").mapInArrow(batches, schema)
+    return tokens.select(id_col, "ids").mapInArrow(tidy(batches), schema)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
@@ -308,4 +308,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
                 arrays.append(pa.array(kept, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return small_batches(docs.select(F.col(id_col), F.col(text_col))).mapInArrow(batches, T.StructType(fields))
+    return small_batches(docs.select(F.col(id_col), F.col(text_col))).mapInArrow(tidy(batches), T.StructType(fields))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +44,37 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    """glibc's malloc_trim, where there is one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return lambda pad: 0
+
+
+def give_back() -> None:
+    """Return memory that this worker has freed to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def tidy(function):
+    """A function for mapInArrow that gives memory back when its task ends.
+
+    Spark uses a Python worker again for the next stages; without this it keeps the most that any of its
+    tasks had in use, and the stages of a pipeline add up.
+    """
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def fold_ascii(text: Column) -> Column:
     """Lower-case A-Z only; other letters keep their case."""
     return F.translate(text, UPPER, LOWER)

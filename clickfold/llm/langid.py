@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clickfold.llm.common import runs_of, small_batches
+from clickfold.llm.common import runs_of, small_batches, tidy
 
 DIMENSIONS = 1024
 SEED = 20240
@@ -136,7 +136,7 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
     # Added up by (language, dimension): sums of whole numbers, so their order does not matter.
     rows = (small_batches(docs).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
             .select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-            .mapInArrow(bundle, schema)
+            .mapInArrow(tidy(bundle), schema)
             .select("lang", F.posexplode("bundle").alias("at", "value"))
             .groupBy("lang", "at").agg(F.sum("value").alias("value"))
             .collect())
@@ -183,4 +183,4 @@ def identify(docs: DataFrame, prototypes: dict[str, list[float]], text_col: str
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(kept)], pa.array(best, pa.string()), pa.array(score)],
                                              [f.name for f in schema.fields])
 
-    return small_batches(docs).select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(predict, schema)
+    return small_batches(docs).select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(tidy(predict), schema)

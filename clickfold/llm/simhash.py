@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clickfold.llm.common import folded_bytes, small_batches, stored
+from clickfold.llm.common import folded_bytes, small_batches, stored, tidy
 from clickfold.llm.graph import components
 
 WORDS, BITS, SEED = 3, 3, 42
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = [fingerprint(t, words) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps, pa.int64())], [id_col, "text_hash", "fp"])
 
-    return small_batches(docs.select(id_col, text_col, F.xxhash64(text_col).alias("text_hash"))).mapInArrow(batches, schema)
+    return small_batches(docs.select(id_col, text_col, F.xxhash64(text_col).alias("text_hash"))).mapInArrow(tidy(batches), schema)
 
 
 def _flips(free_bits: int, most: int) -> np.ndarray:
@@ -118,7 +118,9 @@ def near_pairs(distinct: DataFrame, most: int = BITS) -> DataFrame:
         mask = sum(0xFF << 8 * p for p in positions)
         mask -= (mask >> 63) << 64  # as a signed number
         keys.append(F.struct(F.lit(k).alias("at"), F.col("fp").bitwiseAND(F.lit(mask).cast("long")).alias("bytes")))
-    lists = (distinct.select("fp", F.explode(F.array(*keys)).alias("key"))
+    # every row becomes 56: spread them first, however few bytes they are now
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lists = (distinct.repartition(tasks, "fp").select("fp", F.explode(F.array(*keys)).alias("key"))
              .groupBy("key.at", "key.bytes").agg(F.collect_list("fp").alias("members"))
              .where(F.size("members") > 1).select("members"))
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
@@ -141,7 +143,7 @@ def near_pairs(distinct: DataFrame, most: int = BITS) -> DataFrame:
             signed = values.view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(signed[index[:, 0]]), pa.array(signed[index[:, 1]])], ["a", "b"])
 
-    return lists.mapInArrow(link, schema)
+    return lists.mapInArrow(tidy(link), schema)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
