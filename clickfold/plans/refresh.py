@@ -6,10 +6,12 @@ same in one session:
 
 1. read the raw tables (explicit schemas, any batch format);
 2. materialise staged and derived tables once into the shared checkpoint folder (cluster-wide
-   storage, so a lost executor never recomputes the chain), bucketed by their keys so that the
-   views read them without shuffling on session, product, user or order;
-3. compute each ``vw_*`` from the written tables and write it as Parquet under ``out_dir``
-   (small aggregates; ``coalesce(1)`` keeps one file each), and register it as a temp view.
+   storage, so a lost executor never recomputes the chain), in files by range of key and order;
+3. compute each ``vw_*`` from the written tables and write it as Parquet under a new version of
+   ``out_dir`` (small aggregates; ``coalesce(1)`` keeps one file each), and register it as a temp view.
+
+Both steps replace what the run before wrote for the same folders: one copy is left, and a run that
+fails leaves the earlier one (:mod:`clickfold.plans.publish`).
 
 Usage: ``spark-submit --py-files clickfold.zip tools/refresh.py <raw_dir> <out_dir> [format] [key=value ...]``;
 ``key=value`` are reader options. Master, memory and partition counts are the cluster's: the job sets none.
@@ -19,29 +21,34 @@ from __future__ import annotations
 
 import os
 import sys
+import zlib
 
 from pyspark.sql import SparkSession
 
 from clickfold.plans.catalog import VIEWS
+from clickfold.plans.publish import publish
 from clickfold.plans.workspace import Workspace
-from clickfold.session import BASE_CONF
+from clickfold.session import BASE_CONF, scratch_path
 from clickfold.sources.raw import read_raw
 
 
 def refresh(spark: SparkSession, raw_dir: str, out_dir: str, fmt: str = "parquet",
             options: dict | None = None, buckets: int | None = None) -> dict[str, str]:
-    """``buckets``: bucket count of the materialised tables. Aim for bucket files of a few hundred
-    MB of the largest table (events); the default follows the session's shuffle partitions, below
-    Spark's limit of buckets."""
-    buckets = buckets or bucket_count(spark)
-    ws = Workspace(read_raw(spark, raw_dir, fmt, options)).materialize(buckets=buckets)
-    written = {}
-    for name, query in VIEWS.items():
-        df = query(ws)
-        path = os.path.join(out_dir, name)
-        df.coalesce(1).write.mode("overwrite").parquet(path)
+    """Path of every view. ``buckets``: write bucketed tables of so many buckets instead of key ranges, if
+    no key is hot (see :meth:`Workspace.materialize`); :func:`bucket_count` suggests a number."""
+    of_run = f"{zlib.crc32(raw_dir.rstrip('/').encode()):08x}"
+    ws = Workspace(read_raw(spark, raw_dir, fmt, options)).replace(scratch_path(spark, f"refresh-{of_run}"), buckets=buckets)
+
+    def write(folder: str) -> dict[str, str]:
+        written = {}
+        for name, query in VIEWS.items():
+            written[name] = os.path.join(folder, name)
+            query(ws).coalesce(1).write.mode("overwrite").parquet(written[name])
+        return written
+
+    written = publish(spark, out_dir, write)
+    for name, path in written.items():
         spark.read.parquet(path).createOrReplaceTempView(name)
-        written[name] = path
     return written
 
 

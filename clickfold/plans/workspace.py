@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import uuid
+import zlib
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from clickfold.functions.semantics import collate_strings
 from clickfold.operators import inventory, staging
 from clickfold.plans import abandonment
+from clickfold.plans.publish import publish
 from clickfold.session import scratch_path
 from clickfold.sources.raw import LazyRawTables, RawTables
 
@@ -154,21 +156,37 @@ class Workspace:
         return Workspace(self.raw, tables=tables, collation=self.collation)
 
     # -- materialisation --------------------------------------------------------------------
+    def replace(self, root: str, names: tuple[str, ...] = STAGED + DERIVED, buckets: int | None = None) -> Workspace:
+        """:meth:`materialize` as a new version below ``root``; the version of an earlier run goes once this
+        one is complete, with its catalog tables (:mod:`clickfold.plans.publish`)."""
+        spark = self.events_temp.sparkSession
+        of_root = f"{zlib.crc32(root.rstrip('/').encode()):08x}"
+        before = [t.name for t in spark.catalog.listTables(pattern=f"clickfold_{of_root}_*")]
+        run = f"{of_root}_{uuid.uuid4().hex[:12]}"
+        written = publish(spark, root, lambda folder: self.materialize(folder, names, buckets, run))
+        for table in before:
+            spark.sql(f"DROP TABLE IF EXISTS `{table}`")
+        return written
+
     def materialize(self, root: str | None = None, names: tuple[str, ...] = STAGED + DERIVED,
-                    buckets: int | None = None) -> Workspace:
+                    buckets: int | None = None, run: str | None = None) -> Workspace:
         """Write the named tables as Parquet under ``root`` (default: the shared checkpoint folder)
         and return a workspace that reads them back. Each write is one job; later metrics start
         from files, so an executor lost later never recomputes staging.
 
-        With ``buckets``, every table is written as a bucketed catalog table (``bucketBy`` on its
-        layout key, files under ``root``): events, cart map and stock check by session, inventory,
-        timeline and cart facts by product, orders by user, items by order. Spark then reads each
-        table already hash-partitioned by that key, so the per-session rollups, the forward fill,
-        the order lag and the joins on those keys need no shuffle at all. Tables are registered in
-        the session catalog (a metastore on a cluster) under ``clickfold_<run>_<name>``.
+        Files hold ranges of (key, order), like an index on both: a key's rows lie together in order, and
+        a key with many rows is split over as many files and write tasks as its share of the rows.
+
+        With ``buckets``, every table is written as a bucketed catalog table instead (``bucketBy`` on its
+        layout key, files under ``root``): events, cart map and stock check by session; inventory,
+        timeline and cart facts by product; orders by user; items by order. Spark then reads each
+        table already hash-partitioned by that key, so the per-session rollups, the forward fill
+        and the joins on those keys need no shuffle at all. All rows of a key share a bucket: this is
+        for tables without hot keys. Tables are registered in the session catalog (a metastore on a
+        cluster) under ``clickfold_<run>_<name>``.
         """
         spark = self.events_temp.sparkSession
-        run = uuid.uuid4().hex[:12]
+        run = run or uuid.uuid4().hex[:12]
         root = root or scratch_path(spark, f"workspace-{run}")
         # Tables already given to this workspace (e.g. by a slicer) carry over; every other table
         # is derived from the files written before it (names are in dependency order), so each
@@ -187,7 +205,7 @@ class Workspace:
                 ws.__dict__[name] = spark.table(table)
                 ws.__dict__[name].clickfold_bucketed = True
             else:
-                (df.repartition(*cluster).sortWithinPartitions(*sort)
+                (df.repartitionByRange(*sort).sortWithinPartitions(*sort)
                  .write.mode("overwrite").parquet(path))
                 ws.__dict__[name] = spark.read.parquet(path)
             for alias in SERVES_AS.get(name, ()):
