@@ -20,7 +20,7 @@ from clickfold.plans.workspace import Workspace
 
 def overall_aov(ws: Workspace) -> DataFrame:
     """Total revenue / total orders over V2 (an order has one user, hence one source)."""
-    v2 = traffic.revenue_by_source(ws.orders_temp, ws.order_items_temp, ws.users_temp, require_source=True)
+    v2 = traffic.revenue_by_source(ws.orders_temp, ws.order_items_temp, ws.users_temp, require_source=True, buyers=False)
     return v2.agg(rate(money_total("total_revenue"), F.sum("total_orders")).alias("overall_aov"))
 
 
@@ -36,7 +36,7 @@ def traffic_mix(ws: Workspace) -> DataFrame:
     The total is a window over the whole of V1, which has one row per source: the single window
     partition holds a handful of rows whatever the data size.
     """
-    v1 = traffic.traffic_overview(ws.events_temp, ordered=False).select("traffic_source", "total_sessions")
+    v1 = traffic.sessions_by_source(ws.events_temp)
     all_sessions = F.sum("total_sessions").over(Window.partitionBy())
     return v1.select("traffic_source", "total_sessions", rate("total_sessions", all_sessions).alias("session_share"))
 
@@ -69,7 +69,7 @@ def overview_kpis(ws: Workspace) -> DataFrame:
               .agg(F.count(F.lit(1)).alias("total_sessions"),
                    rate(F.sum(F.when(F.col("has_purchase") == 0, F.col("__carts")).otherwise(0)), F.sum("__carts"))
                    .alias("abandonment_rate")))
-    v2 = traffic.revenue_by_source(ws.orders_temp, ws.order_items_temp, ws.users_temp, require_source=True)
+    v2 = traffic.revenue_by_source(ws.orders_temp, ws.order_items_temp, ws.users_temp, require_source=True, buyers=False)
     revenue = v2.agg(money_total("total_revenue").alias("total_revenue"),
                      rate(money_total("total_revenue"), F.sum("total_orders")).alias("overall_aov"))
     # Two one-row aggregates side by side: stack them (missing columns NULL) and keep each

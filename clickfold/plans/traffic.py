@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickfold.functions.semantics import event_flag, money_sum, rate, valid_order
-from clickfold.operators.sessions import rollup
+from clickfold.functions.semantics import event_flag, rate, valid_order
+from clickfold.operators.distinct import distinct_counts
 
 
 def users_by_source(users_temp: DataFrame) -> DataFrame:
@@ -24,13 +24,9 @@ def traffic_overview(events_temp: DataFrame, ordered: bool = True) -> DataFrame:
     The flags are taken per (session, user, source); a session seen under two user ids counts
     once in ``total_sessions`` but twice in the sums, exactly as in the reference.
     """
-    summary = rollup(events_temp, ["session_id", F.col("user_id_fix").alias("user_id"), "traffic_source"],
-                     {"has_purchase": "purchase", "has_cart": "cart"})
-    out = (summary.groupBy("traffic_source")
-           .agg(F.count_distinct("session_id").alias("total_sessions"),
-                F.count_distinct("user_id").alias("total_users"),
-                F.sum("has_cart").alias("sessions_with_cart"),
-                F.sum("has_purchase").alias("sessions_with_purchase"))
+    out = (distinct_counts(events_temp, ["traffic_source"], {"total_sessions": "session_id", "total_users": "user_id_fix"},
+                           {"sessions_with_cart": F.max(event_flag("cart")),
+                            "sessions_with_purchase": F.max(event_flag("purchase"))})
            .withColumns({
                "session_to_cart_rate": rate("sessions_with_cart", "total_sessions"),
                "cart_to_purchase_rate": rate("sessions_with_purchase", "sessions_with_cart"),
@@ -39,6 +35,11 @@ def traffic_overview(events_temp: DataFrame, ordered: bool = True) -> DataFrame:
     return out.orderBy(F.desc("total_sessions")) if ordered else out
 
 
+def sessions_by_source(events_temp: DataFrame) -> DataFrame:
+    """Sessions per session source: the first count of A2 alone."""
+    return distinct_counts(events_temp, ["traffic_source"], {"total_sessions": "session_id"}, {})
+
+
 def _order_revenue(order_items_temp: DataFrame) -> DataFrame:
     """Items reduced to one row per order before any join: the sum of an order's item prices.
 
@@ -48,22 +49,27 @@ def _order_revenue(order_items_temp: DataFrame) -> DataFrame:
     return order_items_temp.groupBy("order_id").agg(F.sum("sale_price").alias("__order_revenue"))
 
 
+def _sales(orders: DataFrame, keys: list[str], buyers: bool = True) -> DataFrame:
+    """Orders, buyers, revenue and AOV per ``keys``; the revenue is summed as decimal and emitted once as double."""
+    counted = {"total_orders": "order_id"} | ({"total_buyers": "user_id"} if buyers else {})
+    return (distinct_counts(orders, keys, counted, {"total_revenue": F.sum("__order_revenue")})
+            .withColumn("total_revenue", F.col("total_revenue").cast("double"))
+            .withColumn("aov", rate("total_revenue", "total_orders")))
+
+
 def revenue_by_source(orders_temp: DataFrame, order_items_temp: DataFrame, users_temp: DataFrame,
-                      require_source: bool = False, ordered: bool = True) -> DataFrame:
+                      require_source: bool = False, ordered: bool = True, buyers: bool = True) -> DataFrame:
     """A3 (``require_source=False``) / V2 (``True``): valid orders, buyers, revenue and AOV per
     acquisition source. Orders without items count as orders; in A3 orders of users removed by
-    deduplication form a NULL-source row, V2 drops it."""
+    deduplication form a NULL-source row, V2 drops it. Without ``buyers`` they are not counted, for
+    measures that read orders and revenue only."""
     orders = orders_temp.filter(valid_order()).select("order_id", "user_id")
     users = users_temp.select(F.col("id").alias("__user_key"), "traffic_source")
     joined = (orders.join(_order_revenue(order_items_temp), "order_id", "left")
               .join(users, F.col("user_id") == F.col("__user_key"), "left"))
     if require_source:
         joined = joined.filter(F.col("traffic_source").isNotNull())
-    out = (joined.groupBy("traffic_source")
-           .agg(F.count_distinct("order_id").alias("total_orders"),
-                F.count_distinct("user_id").alias("total_buyers"),
-                money_sum("__order_revenue").alias("total_revenue"))
-           .withColumn("aov", rate("total_revenue", "total_orders")))
+    out = _sales(joined, ["traffic_source"], buyers)
     return out.orderBy(F.desc("total_revenue")) if ordered and not require_source else out
 
 
@@ -81,11 +87,7 @@ def revenue_trend_by_source(orders_temp: DataFrame, order_items_temp: DataFrame,
               .join(users, F.col("user_id") == F.col("__user_key"), "inner"))
     if require_source:
         joined = joined.filter(F.col("traffic_source").isNotNull())
-    out = (joined.groupBy("year_month", "year", "month", "traffic_source")
-           .agg(F.count_distinct("order_id").alias("total_orders"),
-                F.count_distinct("user_id").alias("total_buyers"),
-                money_sum("__order_revenue").alias("total_revenue"))
-           .withColumn("aov", rate("total_revenue", "total_orders")))
+    out = _sales(joined, ["year_month", "year", "month", "traffic_source"])
     return out.orderBy("year_month", "traffic_source") if ordered and not require_source else out
 
 

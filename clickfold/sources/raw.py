@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from clickfold.sources.schemas import RAW_SCHEMAS
+from clickfold.sources.schemas import OPTIONAL_SCHEMAS, RAW_SCHEMAS
 
 
 @dataclass(frozen=True)
@@ -52,7 +52,8 @@ def read_raw(spark: SparkSession, root: str, fmt: str = "parquet", options: dict
     """Read ``<root>/<table>`` for every raw table with its explicit schema.
 
     ``fmt`` is any Spark batch format (``parquet``, ``csv``, ``json``, ``orc``). Columns go by name in
-    all of them: missing ones come back NULL, further ones stay as they are, their order is free. CSV
+    all of them: missing ones come back NULL, further ones stay, their order is free. Further columns that
+    ``OPTIONAL_SCHEMAS`` knows get its types, others keep those of the files. CSV
     files are taken to have a header line; with ``options={"header": "false"}`` there are no names and
     the files must hold the schema's columns in its order.
     """
@@ -60,24 +61,27 @@ def read_raw(spark: SparkSession, root: str, fmt: str = "parquet", options: dict
 
     def loader(name: str) -> Callable[[], DataFrame]:
         path, schema = os.path.join(root, name), RAW_SCHEMAS[name]
+        optional = OPTIONAL_SCHEMAS.get(name)
         if fmt.lower() != "csv":
-            return lambda: by_name(spark.read.format(fmt).options(**options).load(path), schema)
+            return lambda: by_name(spark.read.format(fmt).options(**options).load(path), schema, optional)
         if str(options.get("header", "true")).lower() != "true":
             return lambda: spark.read.format(fmt).schema(schema).options(**options).load(path)
         # The header gives the names and everything is read as text, then cast to the schema.
         return lambda: by_name(spark.read.format(fmt).options(**{**options, "header": "true", "inferschema": "false"})
-                               .load(path), schema)
+                               .load(path), schema, optional)
 
     return LazyRawTables({name: loader(name) for name in RAW_SCHEMAS})
 
 
-def by_name(df: DataFrame, schema: StructType) -> DataFrame:
-    """The schema's columns, matched by name without regard to case, then all other columns of ``df``.
+def by_name(df: DataFrame, schema: StructType, optional: StructType | None = None) -> DataFrame:
+    """The schema's columns, matched by name without regard to case, then all other columns of ``df``;
+    those that ``optional`` names get its names and types.
 
     A column that already has its name and type is taken as it is: a cast or an alias that changes
     nothing would still keep Spark from seeing that two uses of the table are the same.
     """
     have = {c.lower(): c for c in df.columns}
+    known = {f.name.lower(): f for f in (optional.fields if optional else ())}
 
     def column(field):
         name = have.get(field.name.lower())
@@ -89,4 +93,6 @@ def by_name(df: DataFrame, schema: StructType) -> DataFrame:
         return found if name == field.name else found.alias(field.name)
 
     names = {f.name.lower() for f in schema.fields}
-    return df.select(*map(column, schema.fields), *(F.col(f"`{c}`") for c in df.columns if c.lower() not in names))
+    others = [c for c in df.columns if c.lower() not in names]
+    return df.select(*map(column, schema.fields),
+                     *(column(known[c.lower()]) if c.lower() in known else F.col(f"`{c}`") for c in others))

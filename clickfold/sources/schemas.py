@@ -83,3 +83,18 @@ RAW_SCHEMAS = {
     "products": RAW_PRODUCTS,
     "inventory_events": RAW_INVENTORY_EVENTS,
 }
+
+#: Attributes that the tables may carry and no statement reads: typed where a source has them, else left out.
+OPTIONAL_SCHEMAS = {
+    "users": _schema(
+        ("age", IntegerType()),
+        ("gender", StringType()),
+        ("city", StringType()),
+        ("state", StringType()),
+        ("country", StringType()),
+    ),
+    "products": _schema(
+        ("department", StringType()),
+        ("cost", MONEY),
+    ),
+}

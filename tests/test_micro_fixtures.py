@@ -268,3 +268,74 @@ def test_s5_tsql_collation(spark):
     assert (r["cart_sessions"], r["purchase_sessions"]) == (1, 1)
     r = fn.funnel_overall(binary.events_temp).collect()[0]
     assert (r["cart_sessions"], r["purchase_sessions"]) == (0, 0)
+
+
+# -- Distinct counts of two columns; the threshold of revenue at risk; optional attributes ---------
+
+def test_distinct_counts_of_two_columns(spark):
+    """Values shared by several groups, NULL keys, NULL values and a NULL-only sum."""
+    from clickfold.operators.distinct import distinct_counts
+    data = [("s", 1, 10, 2), ("s", 1, 11, 3), ("s", 2, 10, None), ("s", None, 10, 5), ("t", 1, None, None), (None, 1, 10, 7)]
+    df = spark.createDataFrame(data, "k string, a int, b int, v int")
+    out = distinct_counts(df, ["k"], {"n_a": "a", "n_b": "b"}, {"total": F.sum("v")})
+    assert rows(out, "k", "n_a", "n_b", "total") == [("s", 2, 2, 10), ("t", 1, 0, None), (None, 1, 1, 7)]
+    assert rows(distinct_counts(df, ["k"], {"n_b": "b"}, {})) == [("s", 2), ("t", 0), (None, 1)]
+    assert rows(distinct_counts(df.limit(0), ["k"], {"n_a": "a", "n_b": "b"}, {"total": F.sum("v")})) == []
+
+
+def test_an_order_id_of_two_buyers_counts_once(spark):
+    ws = make_workspace(spark, users=[USER, {**USER, "id": 2, "email": "b@x"}],
+                        orders=[_order(1, "00:00:00", user=1), _order(1, "00:10:00", user=2), _order(2, "00:20:00", user=2)],
+                        order_items=[{"order_id": 1, "sale_price": Decimal("2.50")}, {"order_id": 2, "sale_price": Decimal("1.00")}])
+    found = tr.revenue_by_source(ws.orders_temp, ws.order_items_temp, ws.users_temp)
+    assert rows(found) == [("Search", 2, 2, 6.0, 3.0)]
+    lean = tr.revenue_by_source(ws.orders_temp, ws.order_items_temp, ws.users_temp, buyers=False)
+    assert rows(lean) == [("Search", 2, 6.0, 3.0)]
+
+
+def test_revenue_at_risk_starts_at_two_hundred_rows(spark):
+    """A17, V12 and D7 with the threshold of the reference: 200 abandoned rows qualify, 199 don't."""
+    from clickfold.plans.catalog import QUERIES
+    products = [{"id": 1, "category": "Jeans", "retail_price": Decimal("10.00")},
+                {"id": 2, "category": "Socks", "retail_price": Decimal("2.00")}]
+    events = []
+    for product, sessions in ((1, 200), (2, 199)):
+        for s in range(sessions):
+            name = f"{product}-{s}"
+            events += [_event(2 * len(events), name, "product", seq=1, uri=f"/product/{product}"),
+                       _event(2 * len(events) + 1, name, "cart", seq=2, t="00:01:00")]
+    ws = make_workspace(spark, events=events, products=products)
+    for key in ("revenue_at_risk", "vw_revenue_at_risk"):
+        assert rows(QUERIES[key](ws), "category", "abandoned_oos_events", "revenue_at_risk", "avg_item_price") == [
+            ("Jeans", 200, 2000.0, 10.0)], key
+    assert rows(QUERIES["revenue_at_risk_total"](ws), "revenue_at_risk_total", "abandoned_oos_events") == [(2000.0, 200)]
+
+
+def test_optional_attributes_get_their_types(spark, tmp_path):
+    """Users' and products' further attributes: typed and kept through staging, from CSV and from Parquet."""
+    from clickfold.plans.workspace import Workspace
+    from clickfold.sources.raw import read_raw
+    users = spark.createDataFrame([("Oslo", "1", "a@x", "42", "Search", "2020-01-01 00:00:00 UTC", "x")],
+                                  "City string, id string, email string, age string, traffic_source string, created_at string, note string")
+    products = spark.createDataFrame([("1", "Jeans", "12.345", "Men", "20")],
+                                     "id string, category string, cost string, department string, retail_price string")
+    for fmt in ("csv", "parquet"):
+        root = str(tmp_path / fmt)
+        users.write.format(fmt).option("header", "true").save(f"{root}/users")
+        products.write.format(fmt).option("header", "true").save(f"{root}/products")
+        ws = Workspace(read_raw(spark, root, fmt))
+        types = {f.name: f.dataType.simpleString() for f in ws.users_temp.schema.fields}
+        assert (types["age"], types["city"], types["note"]) == ("int", "string", "string")
+        assert rows(ws.users_temp, "id", "age", "city", "note", "is_duplicate_account") == [(1, 42, "Oslo", "x", 0)]
+        assert rows(ws.products, "id", "cost", "department", "retail_price") == [
+            (1, Decimal("12.35"), "Men", Decimal("20.00"))]
+        assert "gender" not in types
+
+
+def test_second_boundaries_before_1970(spark):
+    """DATEDIFF(SECOND) counts boundaries on both sides of the epoch."""
+    from clickfold.functions.semantics import seconds_between
+    times = spark.createDataFrame([("1969-12-31 23:59:59.9", "1970-01-01 00:00:00.1"), ("1969-12-31 23:59:58.1", "1969-12-31 23:59:58.9"),
+                                   ("1969-12-31 23:59:57.9", "1969-12-31 23:59:58.1")], "a string, b string")
+    typed = times.select(F.col("a").cast("timestamp_ntz").alias("a"), F.col("b").cast("timestamp_ntz").alias("b"))
+    assert [r[0] for r in typed.select(seconds_between("a", "b")).collect()] == [1, 0, 1]

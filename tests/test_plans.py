@@ -206,3 +206,16 @@ def test_the_levels_of_a_scan_share_an_exchange_when_columns_go_unused(spark, ra
     orders = orders.withColumn("t", F.replace("created_at", F.lit(" UTC"), F.lit("")).cast("timestamp_ntz"))
     scanned = scan.previous_value(orders, ["user_id"], ["t", "order_id"], "status", "before")
     assert _reads(scanned.groupBy("before").count()) == {"orders": 1}
+
+
+@pytest.mark.parametrize("key", ["traffic_overview", "vw_traffic_overview", "traffic_mix", "revenue_by_source",
+                                 "vw_revenue_by_traffic", "vw_revenue_trend_by_traffic", "overall_aov"])
+def test_distinct_counts_write_no_row_twice(spark, raw_dir, key):
+    """Two distinct counts share one reduced exchange: no Expand, and the events are read once."""
+    df = QUERIES[key](Workspace(read_raw(spark, raw_dir)))
+    df.collect()
+    plan = _plan(df)
+    assert "Expand" not in plan
+    if key in ("traffic_overview", "vw_traffic_overview"):
+        final = plan.split("== Initial Plan ==")[0]
+        assert final.count("FileScan") == 1 and "ReusedExchange" in final

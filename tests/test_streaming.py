@@ -5,10 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 
+import pytest
 from base_helpers import rows
+from pyspark.sql import functions as F
 
 from clickfold.operators import staging
-from clickfold.sources.testdata import raw_events, raw_orders, raw_order_items
+from clickfold.sources.testdata import raw_events, raw_orders
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,12 +31,29 @@ def test_stream_staging_matches_batch(spark):
     assert rows(spark.read.parquet(staged)) == rows(staging.stage_events(events))
 
 
-def test_stream_staging_of_items_joins_orders(spark):
+def test_stream_keeps_further_columns_with_their_types(spark):
     root = tempfile.mkdtemp(prefix="clickfold-stream-")
-    landing, staged, ckpt = (os.path.join(root, d) for d in ("landing", "staged", "ckpt"))
-    items, orders = raw_order_items(spark, SF), raw_orders(spark, SF)
-    items.write.mode("append").parquet(landing)
+    for fmt in ("parquet", "csv"):
+        landing, staged, ckpt = (os.path.join(root, fmt, d) for d in ("landing", "staged", "ckpt"))
+        orders = raw_orders(spark, SF).withColumn("num_of_item", F.col("order_id") % 4)
+        orders.write.option("header", "true").format(fmt).save(landing)
+
+        from clickfold.streaming import stage_stream
+        stage_stream(spark, "orders", landing, staged, ckpt, fmt).awaitTermination()
+        got = spark.read.parquet(staged)
+        assert got.schema["order_id"].dataType.simpleString() == "bigint"
+        items = got.select("order_id", F.col("num_of_item").cast("long").alias("num_of_item"), "created_date_clean")
+        assert rows(items) == rows(staging.stage_orders(orders).select(*items.columns))
+
+
+def test_an_empty_landing_folder_has_the_declared_schema(spark):
+    from clickfold.sources.schemas import RAW_SCHEMAS
+    from clickfold.streaming.staging_stream import read_landing
+    assert read_landing(spark, "events", tempfile.mkdtemp(prefix="clickfold-empty-")).schema == RAW_SCHEMAS["events"]
+
 
+def test_tables_that_wait_for_other_rows_are_no_streams(spark):
     from clickfold.streaming import stage_stream
-    stage_stream(spark, "order_items", landing, staged, ckpt, orders=orders).awaitTermination()
-    assert rows(spark.read.parquet(staged)) == rows(staging.stage_order_items(items, orders))
+    for table in ("order_items", "users"):
+        with pytest.raises(ValueError):
+            stage_stream(spark, table, "landing", "staged", "ckpt")
