@@ -8,7 +8,8 @@ A name alone takes no article, no element around one, and no container of most o
 Every remaining paragraph earns points for its length and commas and passes them to its ancestors,
 less with each level; an element's points are discounted by the share of its text in links. The best
 element, or the article it stands in, is the container; its siblings join if they earn a fair share.
-Lists and tables of hardly anything but links inside the container go.
+Lists and tables of hardly anything but links inside the container go; within an article they stay if their links
+are as long as titles, as references are. A paragraph whose name only begins with such a word stays if it reads as text.
 
 Character references are decoded, white space inside a block becomes one blank, blocks are joined in
 page order by one newline. The whole page is read and nothing is capped.
@@ -58,6 +59,8 @@ WHOLE = frozenset("skip hidden".split())
 STATES = frozenset("has have with without no not is tag category cat type format status".split())
 #: Least share of an element's text in links by which a list or table counts as a list of links.
 ALL_LINKS = 0.9
+#: Characters of a link that is a title rather than a word of a menu; of a paragraph that reads as text.
+TITLE, SENTENCE = 25, 80
 SELDOM = frozenset("header masthead banner notice notices alert widget widgets tags meta byline toc outbrain taboola rating".split())
 TEXTUAL = frozenset("article content entry post story text body main".split())
 #: What may stand in a page's head, and elements whose end tags alone reach beyond them.
@@ -68,12 +71,12 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "points", "own", "total", "size", "linked", "unwanted", "named")
+    __slots__ = ("tag", "parent", "children", "points", "own", "total", "size", "linked", "links", "unwanted", "named")
 
     def __init__(self, tag: str, parent: "Node | None"):
         self.tag, self.parent, self.children = tag, parent, []
         self.points = self.own = self.total = 0.0
-        self.size = self.linked = self.named = 0
+        self.size = self.linked = self.links = self.named = 0
         self.unwanted = False
 
 
@@ -220,15 +223,16 @@ def _measure(nodes: list[Node]) -> None:
     """Text and link-text sizes of all subtrees, children before parents."""
     for node in nodes:
         node.points = node.own = node.total = 0.0
-        node.size = node.linked = 0
+        node.size = node.linked = node.links = 0
     for node in reversed(nodes):
         own = sum(len(c.strip()) for c in node.children if isinstance(c, str))
         node.size += own
         if node.tag == "a":
-            node.linked = node.size
+            node.linked, node.links = node.size, 1
         if node.parent is not None:
             node.parent.size += node.size
             node.parent.linked += node.linked
+            node.parent.links += node.links
 
 
 def _text(node: Node) -> str:
@@ -291,6 +295,8 @@ def _judge_names(nodes: list[Node]) -> bool:
         most = 1.0 if n.named == 3 else 0.5
         if n in holds and (n in inside or not inside) and page > 0 and (n.total >= most * page or n.named == 1 and n.total * (1 - _link_share(n)) >= 0.2 * page):
             continue
+        if n.named == 1 and n.tag in PARAGRAPHS and (n in inside or not inside) and n.size >= SENTENCE and _link_share(n) < 0.25:
+            continue
         n.unwanted = True
     return any(n.unwanted for n in nodes)
 
@@ -338,8 +344,14 @@ def _container(nodes: list[Node]) -> list[Node]:
     return kept
 
 
+def _in_article(node: Node) -> bool:
+    while node is not None and node.tag != "article":
+        node = node.parent
+    return node is not None
+
+
 def _blocks(tops: list[Node]) -> list[str]:
-    """Text blocks in page order; lists and tables that are mostly links are left out."""
+    """Text blocks in page order; lists and tables that are mostly links are left out, but for references."""
     out: list[str] = []
     run: list[str] = []
 
@@ -357,7 +369,8 @@ def _blocks(tops: list[Node]) -> list[str]:
         elif isinstance(x, str):
             run.append(x)
         else:
-            if x.tag in ("ul", "ol", "dl", "table", "div", "section") and _link_share(x) > ALL_LINKS and x not in tops:
+            if x.tag in ("ul", "ol", "dl", "table", "div", "section") and _link_share(x) > ALL_LINKS and x not in tops and not (
+                    x.linked >= TITLE * x.links and _in_article(x)):
                 close()
                 continue
             if x.tag in BLOCK:
