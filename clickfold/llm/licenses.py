@@ -23,9 +23,6 @@ from pyspark.sql import functions as F
 from clickfold.llm.license_rules import BASE, rules
 from clickfold.llm.native_words import words
 
-_NO_SPANS = "array<struct<start:int,stop:int,rule:int,label:string>>"
-
-
 def _phrase_places(phrase: str) -> Column:
     """Word indexes where the phrase starts; the positions are tried only if the phrase occurs."""
     parts = phrase.split(" ")
@@ -45,35 +42,76 @@ def _labelled_places(phrase: str, label: str) -> Column:
     return F.transform(_phrase_places(phrase), lambda i: F.struct(i.alias("at"), F.lit(label).alias("label")))
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)``, with ``value`` worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _running(sizes: Column, at: Column, add) -> Column:
+    """For each item of ``sizes`` the sum of ``add`` over the items before it, plus ``at``. Every step copies the
+    array, so this is for short arrays."""
+    start = F.struct(at.cast("int").alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(sizes, start, lambda acc, x: F.struct(
+        (acc["at"] + add(x)).cast("int").alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+
+def _offsets(sizes: Column, add) -> Column:
+    """``_running`` of a long array: runs of about sqrt(n) items, each from the sum of the runs before it."""
+    def in_runs(run):
+        runs = F.transform(F.sequence(F.lit(0), F.ceil(F.size(sizes) / run).cast("int") - 1),
+                           lambda j: F.slice(sizes, j * run + 1, run))
+        total = lambda items: F.aggregate(items, F.lit(0), lambda acc, x: (acc + add(x)).cast("int"))
+        return _let(runs, lambda cut: F.flatten(F.zip_with(
+            cut, _running(F.transform(cut, total), F.lit(0), lambda x: x), lambda items, at: _running(items, at, add))))
+
+    return F.when(F.size(sizes) == 0, F.array().cast("array<int>")).otherwise(
+        _let(F.ceil(F.sqrt(F.size(sizes))).cast("int"), in_runs))
+
+
 def _spans(rule: Column) -> Column:
     """Places (in characters) of a rule's matches: what lies between them gives their starts."""
     pattern = F.concat(F.lit("(?<= )(?:"), rule["pattern"], F.lit(")(?= )"))
-    found = F.call_function("regexp_extract_all", F.col("canon"), pattern, F.lit(0))
-    between = F.slice(F.split(F.col("canon"), pattern, -1), F.lit(1), F.size(found))
-    sizes = F.zip_with(between, found, lambda b, m: F.struct(F.length(b).alias("skip"), F.length(m).alias("size")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_NO_SPANS).alias("out"))
-    return F.aggregate(sizes, start, lambda acc, x: F.struct(
-        (acc["at"] + x["skip"] + x["size"]).alias("at"),
-        F.concat(acc["out"], F.array(F.struct(
-            (acc["at"] + x["skip"]).alias("start"), (acc["at"] + x["skip"] + x["size"]).alias("stop"),
-            rule["rule"].alias("rule"), rule["label"].alias("label")))).alias("out")), lambda acc: acc["out"])
+
+    def placed(found):
+        between = F.slice(F.split(F.col("canon"), pattern, -1), F.lit(1), F.size(found))
+        sizes = F.zip_with(between, found, lambda b, m: F.struct(
+            F.length(b).alias("skip"), F.length(m).alias("size"), F.size(F.split(m, " ")).alias("words")))
+        return _let(sizes, lambda parts: F.zip_with(
+            parts, _offsets(parts, lambda x: x["skip"] + x["size"]), lambda x, at: F.struct(
+                (at + x["skip"]).alias("start"), (-(at + x["skip"] + x["size"])).alias("back"),
+                rule["rule"].alias("rule"), rule["label"].alias("label"), x["words"].alias("words"))))
+
+    return _let(F.call_function("regexp_extract_all", F.col("canon"), pattern, F.lit(0)), placed)
+
+
+_SPAN = "struct<start:int,back:int,rule:int,label:string,words:int>"
 
 
 def _resolved(spans: Column) -> Column:
-    """What stays of overlapping detections."""
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(
-        s["start"].alias("start"), (-s["stop"]).alias("back"), s["rule"].alias("rule"), s["label"].alias("label"))))
-    kept = "array<struct<start:int,back:int,rule:int,label:string>>"
+    """Labels and the most words of the detections that stay, in one sweep that holds the last of them."""
+    def counted(acc):
+        label = acc["last"]["label"]
+        known = acc["last"].isNull() | F.array_contains(acc["labels"], label)
+        labels = F.when(known, acc["labels"]).otherwise(F.concat(acc["labels"], F.array(label)))
+        return labels, F.greatest(acc["longest"], F.coalesce(acc["last"]["words"], F.lit(0)))
+
+    def state(last, labels, longest):
+        return F.struct(last.alias("last"), labels.alias("labels"), longest.alias("longest"))
 
     def step(acc, x):
-        last = F.get(acc, F.size(acc) - 1)
-        clear = (F.size(acc) == 0) | (x["start"] >= -last["back"])
+        last = acc["last"]
+        clear = last.isNull() | (x["start"] >= -last["back"])
         inside = -x["back"] <= -last["back"]
-        return (F.when(clear, F.concat(acc, F.array(x)))
+        return (F.when(clear, state(x, *counted(acc)))
                 .when(inside | (x["rule"] >= last["rule"]), acc)
-                .otherwise(F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(x))))
+                .otherwise(state(x, acc["labels"], acc["longest"])))
+
+    def end(acc):
+        labels, longest = counted(acc)
+        return F.struct(labels.alias("labels"), longest.alias("longest"))
 
-    return F.aggregate(ordered, F.array().cast(kept), step)
+    none = state(F.lit(None).cast(_SPAN), F.array().cast("array<string>"), F.lit(0))
+    return F.aggregate(F.array_sort(spans), none, step, end)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -93,9 +131,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     df = df.withColumn("stays", F.when(F.size("detected") > 0, _resolved(F.col("detected"))))
     base = F.array_sort(F.array_distinct(F.transform("places", lambda p: p["label"])))
     none = F.array().cast("array<string>")
-    own = F.coalesce(F.transform("stays", lambda s: s["label"]), none)
-    n_words_of = F.transform("stays", lambda s: F.size(F.split(F.substring(F.col("canon"), s["start"] + 1, -s["back"] - s["start"]), " ")))
-    longest = F.coalesce(F.array_max(n_words_of), F.lit(0))
+    own = F.coalesce(F.col("stays.labels"), none)
+    longest = F.coalesce(F.col("stays.longest"), F.lit(0))
     df = df.withColumn("found", longest > 0).withColumn("longest", longest)
     score = F.when(~F.col("found") & (F.size("places") == 0), F.lit(0.0)).otherwise(
         F.greatest(F.lit(0.25), F.least(F.lit(1.0), F.col("longest") / F.lit(8.0))))
