@@ -9,11 +9,12 @@ before the last (a skip), and for the member the class with the last word. The t
 add-one share of its bucket, with one share left for words never seen, so all words together have
 probability one.
 
-Training: every task goes once over its share of the training documents with mini-batch gradient
-steps (AdaGrad by weight row) from the current weights, and reports its change of each weight row
-with the number of tokens that used the row. Spark adds these up by row; the weighted mean is
-the new model, and the next round goes on with another part of the documents. Each training document
-is used in exactly one round.
+Training: the training documents are dealt by a hash of id and text into rounds, and within a round into shards
+of about ``SHARD_BYTES``. Each shard is gone through once, in an order of its own, with mini-batch gradient steps
+(AdaGrad by weight row, ``STEP`` / sqrt(round)) from the current weights, and reports its change of each weight row with the
+number of tokens that used the row. Spark adds these up by row; the weighted mean is the new model, with
+which the next round starts. Each training document is used in exactly one round. What is learned depends on the
+documents alone, not on input splits or the number of tasks.
 
 Counts: words are counted over all training documents. Documents are dealt into units of bounded size.
 A unit asks for the counts of its distinct words, one packed block for each part of the hash range;
@@ -36,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clickfold.llm.common import folded_bytes, mix64, range_hashes, small_batches, space_words, stored
+from clickfold.llm.common import folded_bytes, mix64, range_hashes, space_words, stored
 
 WIDE = 32  # classes, and members of a class
 BUCKETS = WIDE * WIDE
@@ -50,7 +51,10 @@ _OWN = _TWO + PAIRS
 _OWN_LAST = _OWN + WIDE
 ROWS = _OWN_LAST + PAIRS
 
-ROUNDS, STEP, BATCH = 2, 0.2, 4096
+#: ``DAMPING`` is what the squares of AdaGrad start from.
+ROUNDS, STEP, DAMPING, BATCH = 4, 0.2, 1.0, 4096
+#: Bytes of text in a shard of a round.
+SHARD_BYTES = 16 << 20
 #: Documents of a unit; bytes that are hashed at once; hash entries that one part merges.
 UNIT_DOCS, BYTES_AT_ONCE, PART_ENTRIES = 2_000, 1 << 20, 1 << 20
 #: Distinct words expected in a unit, which only sets the number of parts.
@@ -158,12 +162,12 @@ def log10_probability(weights: np.ndarray, bucket: np.ndarray, last: np.ndarray,
 
 
 class Trainer:
-    """Mini-batch gradient steps over one task's tokens."""
+    """Mini-batch gradient steps over one shard's tokens."""
 
-    def __init__(self, weights: np.ndarray):
-        self.first = weights
+    def __init__(self, weights: np.ndarray, size: float):
+        self.size = np.float32(size)
         self.weights = weights.copy()
-        self.squares = np.full(ROWS, 1e-3, dtype=np.float32)
+        self.squares = np.full(ROWS, DAMPING, dtype=np.float32)
         self.used = np.zeros(ROWS, dtype=np.int64)
 
     def step(self, bucket, last, skip):
@@ -181,7 +185,7 @@ class Trainer:
         for row, gradient, count in moves:
             self.used[row] += count
             self.squares[row] += (gradient ** 2).mean(axis=1)
-            self.weights[row] -= STEP * gradient / np.sqrt(self.squares[row])[:, None]
+            self.weights[row] -= self.size * gradient / np.sqrt(self.squares[row])[:, None]
 
     def learn(self, texts):
         hashes, stops = tokens(texts)
@@ -202,25 +206,24 @@ def start_weights(totals: np.ndarray) -> np.ndarray:
     return weights
 
 
-def train_round(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> np.ndarray:
-    """Weights after every task's pass over its documents: the mean change by row, weighted by use."""
+def train_round(shards: DataFrame, weights: np.ndarray, size: float) -> np.ndarray:
+    """Weights after one pass with steps of ``size`` over all shards (shard, place, text): the mean change by row, weighted by use."""
     columns = [f"w{i}" for i in range(WIDE)]
     schema = T.StructType([T.StructField("row", T.IntegerType()), T.StructField("used", T.LongType()),
                            *(T.StructField(c, T.DoubleType()) for c in columns)])
 
-    def local(it):
-        trainer = Trainer(weights)
-        for batch in it:
-            texts = batch.column(0).to_pylist()
-            for s in range(0, len(texts), 512):
-                trainer.learn(texts[s:s + 512])
+    def learn(shard: pa.Table) -> pa.Table:
+        trainer = Trainer(weights, size)
+        texts = shard["text"]
+        order = shard.select(["place"]).append_column("at", pa.array(range(len(texts)))).sort_by("place")["at"].to_numpy()
+        for s in range(0, len(order), 512):
+            trainer.learn(texts.take(order[s:s + 512]).to_pylist())
         row = np.flatnonzero(trainer.used)
         moved = (trainer.weights[row] - weights[row]).astype(np.float64) * trainer.used[row][:, None]
-        yield pa.RecordBatch.from_arrays([pa.array(row.astype(np.int32)), pa.array(trainer.used[row]),
-                                          *(pa.array(np.ascontiguousarray(moved[:, i])) for i in range(WIDE))],
-                                         ["row", "used", *columns])
+        return pa.table([pa.array(row.astype(np.int32)), pa.array(trainer.used[row]),
+                         *(pa.array(np.ascontiguousarray(moved[:, i])) for i in range(WIDE))], ["row", "used", *columns])
 
-    moved = (small_batches(docs.select(text_col)).mapInArrow(local, schema).groupBy("row")
+    moved = (shards.groupBy("shard").applyInArrow(learn, schema).groupBy("row")
              .agg(F.sum("used").alias("used"), *(F.sum(c).alias(c) for c in columns)).collect())
     out = weights.copy()
     for r in moved:
@@ -234,14 +237,25 @@ def _unit_words(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return hashes, stops, words, place
 
 
+def _by_part(words: np.ndarray, parts: int) -> list[tuple[int, np.ndarray]]:
+    """(part, places of its words) for each part of the hash range that has any: one sort, whatever ``parts``."""
+    part = (words % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    cuts = np.flatnonzero(np.diff(part[order])) + 1
+    return [(int(part[places[0]]), places) for places in np.split(order, cuts) if len(places)]
+
+
 def score_documents(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text",
-                    rounds: int = ROUNDS, unit_docs: int = UNIT_DOCS) -> DataFrame:
+                    rounds: int = ROUNDS, unit_docs: int = UNIT_DOCS,
+                    shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) of every row; it learns from the
     rows for which ``learns`` holds."""
     learns = F.coalesce(learns, F.lit(False))
     id_type = docs.schema[id_col].dataType
     docs = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), learns.alias("learns"))
-    units = max(1, -(-docs.count() // unit_docs))
+    bounds = docs.agg(F.count(F.lit(1)).alias("rows"),
+                      F.sum(F.when(F.col("learns"), F.octet_length("text"))).alias("learned")).first()
+    units = max(1, -(-bounds["rows"] // unit_docs))
     parts = max(1, -(-units * UNIT_WORDS // PART_ENTRIES))
     dealt = docs.withColumn("unit", F.pmod(F.xxhash64("id", "text"), F.lit(units)).cast("int"))
 
@@ -249,8 +263,8 @@ def score_documents(docs: DataFrame, learns: Column, id_col: str = "doc_id", tex
         hashes, stops, words, place = _unit_words(frame)
         taught = np.repeat(frame["learns"].to_numpy(dtype=bool), np.diff(stops, prepend=-1))
         counts = np.bincount(place[taught], minlength=len(words)).astype(np.int64)
-        part = (words % np.uint64(parts)).astype(np.int64)
-        rows = [(int(frame["unit"].iloc[0]), p, words[part == p].tobytes(), counts[part == p].tobytes()) for p in np.unique(part).tolist()]
+        unit = int(frame["unit"].iloc[0])
+        rows = [(unit, p, words[places].tobytes(), counts[places].tobytes()) for p, places in _by_part(words, parts)]
         return pd.DataFrame(rows, columns=["unit", "part", "words", "counts"])
 
     def answer(frame: pd.DataFrame) -> pd.DataFrame:
@@ -279,9 +293,11 @@ def score_documents(docs: DataFrame, learns: Column, id_col: str = "doc_id", tex
     train_tokens, distinct = int(in_bucket.sum()), int(distinct_in.sum())
 
     weights = start_weights(in_bucket)
-    taught = docs.where("learns").select("text", F.pmod(F.xxhash64("text", "id"), F.lit(rounds)).alias("round"))
+    place = F.xxhash64("text", "id")
+    shards = rounds * max(1, -(-(bounds["learned"] or 0) // (rounds * shard_bytes)))
+    taught = docs.where("learns").select("text", place.alias("place"), F.pmod(place, F.lit(shards)).alias("shard"))
     for r in range(rounds):
-        weights = train_round(taught.where(F.col("round") == r), weights)
+        weights = train_round(taught.where(F.col("shard") % rounds == r), weights, STEP / (r + 1) ** 0.5)
 
     schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("n_tokens", T.LongType()),
                            T.StructField("n_known", T.LongType()), T.StructField("train_tokens", T.LongType()),
@@ -290,9 +306,9 @@ def score_documents(docs: DataFrame, learns: Column, id_col: str = "doc_id", tex
     def score(frame: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         hashes, stops, words, place = _unit_words(frame)
         count = np.zeros(len(words), dtype=np.int64)
-        part = (words % np.uint64(parts)).astype(np.int64)
+        places = dict(_by_part(words, parts))
         for p, c in zip(answers["part"], answers["counts"], strict=True):
-            count[part == p] = np.frombuffer(c, dtype=np.int64)
+            count[places[p]] = np.frombuffer(c, dtype=np.int64)
         bucket_of_word = buckets_of(words)
         base = np.log10((count + 1) / (train_tokens + distinct + 1))
         in_own = np.log10((count + 1) / (in_bucket + distinct_in + 1)[bucket_of_word])
