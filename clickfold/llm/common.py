@@ -75,6 +75,18 @@ def tidy(function):
     return run
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names that ``df`` does not have, without regard to case: those wanted, with ``_`` added as needed."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def fold_ascii(text: Column) -> Column:
     """Lower-case A-Z only; other letters keep their case."""
     return F.translate(text, UPPER, LOWER)
