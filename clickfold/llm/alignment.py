@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clickfold.llm.common import runs_of, small_batches, stored, tidy
+from clickfold.llm.common import own_cache, runs_of, small_batches, stored, tidy
 
 #: Text of a unit; a longer text is a unit of its own.
 UNIT_BYTES = 2 << 20
@@ -89,6 +89,7 @@ class Tokenizers:
         return a, b
 
 
+@own_cache
 @lru_cache(maxsize=2)
 def load(a_path: str, b_path: str, pattern: str) -> Tokenizers:
     """Once per Python worker."""

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clickfold.llm.common import small_batches, tidy
+from clickfold.llm.common import own_cache, small_batches, tidy
 
 #: Encoded pieces that a worker keeps in each of two generations: what is used again moves to the new one,
 #: and the old one goes when the new one is full. Only time depends on it.
@@ -243,6 +243,7 @@ class Encoder:
         return b"".join(map(self.vocabulary.text.__getitem__, ids))
 
 
+@own_cache
 @lru_cache(maxsize=4)
 def load(path: str, pattern: str) -> Encoder:
     """The encoder of a rank file (lines of base64 token and rank); once per Python worker."""

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clickfold.llm.common import runs_of, small_batches, tidy
+from clickfold.llm.common import own_cache, runs_of, small_batches, tidy
 
 DIMENSIONS = 1024
 SEED = 20240
@@ -38,11 +38,13 @@ UNDETERMINED = "und"
 CHARS_AT_ONCE, GRAMS_AT_ONCE, GROUPS_AT_ONCE = 1 << 20, 8192, 256
 
 
+@own_cache
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(sys.maxunicode + 1)), dtype=bool, count=sys.maxunicode + 1)
 
 
+@own_cache
 @lru_cache(maxsize=20_000)
 def _letter(code: int, dimensions: int, seed: int) -> np.ndarray:
     bits = np.random.Generator(np.random.PCG64([seed, code])).integers(0, 2, dimensions, dtype=np.int8)
